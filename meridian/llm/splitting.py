@@ -73,8 +73,8 @@ def split_text(text: str, limit: int, overlap: int, path: str) -> list[tuple[int
     """(start, end, tokens) of a text's pieces in order; offsets in characters.
 
     A text within the limit is one piece. Otherwise pieces tile the text, and each but the first
-    also begins with the end of the one before: as many whole words as fit ``overlap`` tokens, and
-    where one word is longer than that, as many of its characters.
+    also begins with the end of the one before: as many whole words as fit ``overlap`` tokens, or,
+    where those would be under three quarters of it, as many characters.
     """
     ruler = Ruler(text, path)
     if ruler.total <= limit:
@@ -94,17 +94,14 @@ def split_text(text: str, limit: int, overlap: int, path: str) -> list[tuple[int
         start = a
         if i:
             before = out[-1][0]
-            low = ruler.starts[max(bisect_right(ruler.starts, a - 1) - overlap, 0)]
-            low = max(low, before + 1)
-            # Begin at a word: a character after white space, or white space itself.
+            least = max(ruler.starts[max(bisect_right(ruler.starts, a - 1) - overlap, 0)], before + 1)
+            low = least
             while low < a and not (text[low].isspace() or text[low - 1].isspace()):
                 low += 1
-            if low >= a:
-                low = max(ruler.starts[max(bisect_right(ruler.starts, a - 1) - overlap, 0)], before + 1)
+            if ruler.rough(low, a) < overlap * 3 // 4:  # a script without blanks, or a very long word
+                low = least
             while low < a and (ruler.exact(low, a) > overlap or ruler.exact(low, b) > limit):
-                low += max(1, (a - low) // 16)
-                while low < a and not (text[low].isspace() or text[low - 1].isspace()) and low % 64:
-                    low += 1
+                low = min(a, ruler.starts[min(bisect_right(ruler.starts, low), ruler.total - 1)])
             start = min(low, a)
         out.append((start, b, ruler.exact(start, b)))
     return out
