@@ -21,8 +21,8 @@ from meridian.runtime import written
 
 #: Folder of the public vocabularies; never copied into the repository.
 TOKENIZERS = os.environ.get("MERIDIAN_TOKENIZERS", "/opt/tokenizers")
-#: Commonest words kept as a literal, and the slots of its table (a bound on its size).
-HOT_WORDS, HOT_SLOTS = 8192, 65536
+#: Commonest words kept as a literal, the slots of its table (a bound on its size), and the texts they come from.
+HOT_WORDS, HOT_SLOTS, SAMPLE_TEXTS = 32768, 131072, 5000
 
 # The pattern that cuts a text into words, with white space as Unicode has it.
 _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -126,33 +126,54 @@ def encode(rows: DataFrame, key: str, text: str, path: str | None = None) -> Dat
 
     Null and empty texts have the empty list. A special token's spelling in a text is ordinary
     text. Rows are neither dropped nor merged: a null or repeated key comes out as often as it
-    went in. Other columns are ignored. Equal texts are encoded once. A text of any length is one
-    row of its words; a word of any length is one row of its bytes.
+    went in. Other columns are ignored. A text of any length is one row of its words; a word of
+    any length is one row of its bytes.
+
+    The ids of the commonest words of a bounded sample are a literal of ``HOT_SLOTS`` entries;
+    they are filled in where the text lies. A text's other words are numbered within it, made
+    distinct over the corpus, folded once each, and joined back by word and text. Which words
+    the literal has changes only the way, not the result.
     """
     path = path or f"{TOKENIZERS}/byte_bpe_50k.json"
-    docs = rows.select(F.col(key).alias("k"), F.when(F.col(text) != "", F.col(text)).alias("t"))
-    docs = docs.withColumn("h", F.when(F.col("t").isNotNull(), F.sha2("t", 256)))
-    texts = written(docs.where("h IS NOT NULL").dropDuplicates(["h"]).select("h", words_of(F.col("t")).alias("words")), "words")
-    counts = texts.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    # A stage of its own, spread by word, so that the fold is not left to a few merged partitions.
-    dictionary = written(counts.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism, "w").withColumn("ids", encode_word(F.col("w"), path)), "dictionary")
-    slot = lambda w: F.pmod(F.xxhash64(w), F.lit(HOT_SLOTS)).cast("int")
-    hot_words, hot_ids = [""] * HOT_SLOTS, [""] * HOT_SLOTS
-    for r in dictionary.where(~F.col("w").contains("\x01")).orderBy(F.desc("n"), "w").limit(HOT_WORDS).select("w", "ids", slot(F.col("w")).alias("s")).collect():
-        if not hot_words[r["s"]]:
-            hot_words[r["s"]], hot_ids[r["s"]] = r["w"], " ".join(map(str, r["ids"]))
-    known = F.split(F.lit("\x01".join(hot_words)), "\x01", -1)
-    spelled = F.split(F.lit(",".join(hot_ids)), ",", -1)
-    quick = F.transform("words", lambda w: _let(slot(w), lambda s: F.when(F.get(known, s) == w, F.split(F.get(spelled, s), " ").cast("array<int>"))))
-    coded = texts.select("h", "words", quick.alias("quick"))
-    misses = coded.select("h", F.posexplode(F.zip_with("words", "quick", lambda w, q: F.when(q.isNull(), w))).alias("i", "w")).where("w IS NOT NULL")
-    rare = misses.join(dictionary.select("w", "ids"), "w").groupBy("h").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("rare"))
-    placed = F.transform("quick", lambda q, i: F.struct(i.alias("i"), q.alias("ids")))
-    every = F.array_sort(F.concat(F.filter(placed, lambda x: x["ids"].isNotNull()), F.coalesce("rare", F.array().cast("array<struct<i:int,ids:array<int>>>"))))
-    ids = coded.select("h", "quick").join(rare, "h", "left").select("h", F.flatten(F.transform(every, lambda x: x["ids"])).alias("ids"))
-    full = docs.where("h IS NOT NULL").select("k", "h").join(ids, "h").select(F.col("k").alias(key), "ids")
-    bare = docs.where("h IS NULL").select(F.col("k").alias(key), F.array().cast("array<int>").alias("ids"))
-    return full.unionByName(bare)
+    docs = rows.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("rid", F.monotonically_increasing_id())
+    hot_words, hot_ids = _hot(rows.select(F.col(text).alias("t")).where("t <> ''").limit(SAMPLE_TEXTS), path)
+    known, packed = F.split(F.lit("\x01".join(hot_words)), "\x01", -1), _literal(hot_ids, "bigint")
+    find = lambda w: _let(_slot(w), lambda s: F.when(F.get(known, s) == w, F.get(packed, s)))
+    coded = docs.select("k", "rid", words_of(F.col("t")).alias("words")).withColumn("codes", F.transform("words", find))
+    coded = coded.withColumn("miss", F.array_distinct(F.filter("words", lambda w, i: F.get("codes", i).isNull())))
+    code = lambda c, i: F.coalesce(c, -F.array_position("miss", F.get("words", i)))
+    coded = written(coded.select("k", "rid", F.transform("codes", code).alias("codes"), "miss"), "coded")
+    misses = coded.select("rid", F.posexplode("miss").alias("i", "w"))
+    # Spread by word, so that the fold is not left to a few merged partitions.
+    spread = 4 * docs.sparkSession.sparkContext.defaultParallelism
+    dictionary = written(misses.select("w").distinct().repartition(spread, "w").withColumn("ids", encode_word(F.col("w"), path)), "dictionary")
+    rare = misses.join(dictionary, "w").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("rare"))
+    one = lambda c: F.when(c < 0, F.get("rare", (-c - 1).cast("int"))["ids"]).when(c < 65536, F.array(c.cast("int"))).otherwise(_unpack(c))
+    open_ = coded.where(F.size("miss") > 0).select("k", "rid", "codes").join(rare, "rid").select(F.col("k").alias(key), F.flatten(F.transform("codes", one)).alias("ids"))
+    shut = coded.where(F.size("miss") == 0).select(F.col("k").alias(key), F.flatten(F.transform("codes", lambda c: F.when(c < 65536, F.array(c.cast("int"))).otherwise(_unpack(c)))).alias("ids"))
+    return open_.unionByName(shut)
+
+
+def _slot(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(HOT_SLOTS)).cast("int")
+
+
+def _unpack(code: Column) -> Column:
+    """The two or three ids in one number: 16 bits each, the first lowest, a third one raised by one."""
+    low, mid, high = (code % 65536).cast("int"), (F.shiftright(code, 16) % 65536).cast("int"), (F.shiftright(code, 32) % 131072).cast("int")
+    return F.when(high > 0, F.array(low, mid - 1, high - 1)).otherwise(F.array(low, mid - 1))
+
+
+def _hot(texts: DataFrame, path: str) -> tuple[list[str], list[int]]:
+    """Words and packed ids by slot: the sample's commonest words of at most three tokens."""
+    counts = texts.select(F.explode(words_of(F.col("t"))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(~F.col("w").contains("\x01") & (F.length("w") < 40))
+    top = counts.orderBy(F.desc("n"), "w").limit(HOT_WORDS).repartition(texts.sparkSession.sparkContext.defaultParallelism)
+    words, ids = [""] * HOT_SLOTS, [-1] * HOT_SLOTS
+    for r in sorted(top.select("w", "n", encode_word(F.col("w"), path).alias("ids"), _slot(F.col("w")).alias("s")).collect(), key=lambda r: (-r["n"], r["w"])):
+        if not words[r["s"]] and len(r["ids"]) <= 3:
+            words[r["s"]] = r["w"]
+            ids[r["s"]] = sum((i + (at > 0)) << 16 * at for at, i in enumerate(r["ids"]))
+    return words, ids
 
 
 def decode(ids: Column, path: str | None = None) -> Column:

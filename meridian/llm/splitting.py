@@ -6,11 +6,12 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.tokens import TOKENIZERS, load
+from meridian.llm.tokens import RANKS, load
 
 # Where a node of each level may be cut into its children; a child keeps the break at its end.
 _HEADING = re.compile(r"(?m)^(?=#{1,6}\s|={3,}|-{3,}\s*$|<h[1-6]\b|member_\d+ wrote on )")
@@ -28,39 +29,45 @@ def _children(text: str, a: int, b: int, level: int) -> list[tuple[int, int]]:
 
 
 class Ruler:
-    """Token counts of ranges of one text, by the tokens' places in the whole text."""
+    """Token counts of ranges of one text."""
 
     def __init__(self, text: str, path: str) -> None:
-        self.text, self.path = text, path
-        code = load(path).encode(text, add_special_tokens=False)
-        self.starts = [a for a, _ in code.offsets]
-        self.total = len(self.starts)
+        self.text, self.encoding = text, load(path)
+        ids = self.encoding.encode_to_numpy(text)
+        self.total = len(ids)
+        self.starts: list[int] = []
+        self.ids = ids
+
+    def place(self, lengths: np.ndarray) -> None:
+        """Finds the character at which each token starts, from the tokens' lengths in bytes."""
+        ends = np.cumsum(lengths[self.ids])
+        raw = np.frombuffer(self.text.encode(), np.uint8)
+        self.starts = (np.cumsum((raw & 0xC0) != 0x80) - 1)[np.concatenate([[0], ends[:-1]])].tolist()
 
     def rough(self, a: int, b: int) -> int:
+        """Tokens of the whole text that start in a range: near the range's own where it is cut between words."""
         return bisect_left(self.starts, b) - bisect_left(self.starts, a)
 
     def exact(self, a: int, b: int) -> int:
-        return len(load(self.path).encode(self.text[a:b], add_special_tokens=False).ids)
+        return len(self.encoding.encode_to_numpy(self.text[a:b]))
 
 
 def _leaves(ruler: Ruler, a: int, b: int, level: int, limit: int) -> list[tuple[int, int]]:
-    """Ranges of at most ``limit`` tokens that tile [a, b): siblings merged, large nodes opened."""
-    if ruler.rough(a, b) <= limit and (b - a <= limit or ruler.exact(a, b) <= limit):
+    """Ranges of about ``limit`` tokens at most that tile [a, b): siblings merged, large nodes opened."""
+    if ruler.rough(a, b) <= limit:
         return [(a, b)]
     if level == len(_LEVELS):  # one unbroken run: cut at tokens' starts
         out = []
         while a < b:
             k = bisect_left(ruler.starts, a) + limit
-            cut = min(b, ruler.starts[k]) if k < ruler.total else b
-            while cut - a > 1 and ruler.exact(a, cut) > limit:
-                cut = a + (cut - a) * 7 // 8
+            cut = max(a + 1, min(b, ruler.starts[k])) if k < ruler.total else b
             out.append((a, cut))
             a = cut
         return out
     out = []
     open_a = None  # start of the group of whole siblings that is being merged
     for x, y in _children(ruler.text, a, b, level):
-        if open_a is not None and ruler.rough(open_a, y) <= limit - 2 and (y - open_a <= limit or ruler.exact(open_a, y) <= limit):
+        if open_a is not None and ruler.rough(open_a, y) <= limit:
             out[-1] = (open_a, y)
             continue
         below = _leaves(ruler, x, y, level + 1, limit)
@@ -69,45 +76,54 @@ def _leaves(ruler: Ruler, a: int, b: int, level: int, limit: int) -> list[tuple[
     return out
 
 
-def split_text(text: str, limit: int, overlap: int, path: str) -> list[tuple[int, int, int]]:
+def _overlap_start(ruler: Ruler, a: int, floor: int, overlap: int) -> int:
+    """Where a piece of new text from ``a`` begins, so that it repeats at most ``overlap`` tokens."""
+    text = ruler.text
+    least = max(ruler.starts[max(bisect_left(ruler.starts, a) - overlap, 0)], floor)
+    low = least
+    while low < a and not (text[low].isspace() or text[low - 1].isspace()):
+        low += 1
+    if ruler.rough(low, a) < overlap * 3 // 4:  # a script without blanks, or a very long word
+        low = least
+    while low < a and ruler.exact(low, a) > overlap:
+        low = min(a, ruler.starts[min(bisect_right(ruler.starts, low), ruler.total - 1)])
+    return min(low, a)
+
+
+def split_text(text: str, limit: int, overlap: int, path: str, lengths: np.ndarray) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of a text's pieces in order; offsets in characters.
 
     A text within the limit is one piece. Otherwise pieces tile the text, and each but the first
     also begins with the end of the one before: as many whole words as fit ``overlap`` tokens, or,
-    where those would be under three quarters of it, as many characters.
+    where those would be under three quarters of it, as many characters. Every piece is counted
+    by itself; one that exceeds the limit after all is packed again under a lower limit.
     """
     ruler = Ruler(text, path)
     if ruler.total <= limit:
         return [(0, len(text), ruler.total)]
-    body = limit - overlap
-    tiles = _leaves(ruler, 0, len(text), 0, body)
-    merged = [tiles[0]]
-    for a, b in tiles[1:]:
-        first = merged[-1][0]
-        room = limit if len(merged) == 1 else body
-        if ruler.rough(first, b) <= room - 2 and ruler.exact(first, b) <= room:
-            merged[-1] = (first, b)
-        else:
-            merged.append((a, b))
-    out = []
-    for i, (a, b) in enumerate(merged):
-        start = a
-        if i:
-            before = out[-1][0]
-            least = max(ruler.starts[max(bisect_right(ruler.starts, a - 1) - overlap, 0)], before + 1)
-            low = least
-            while low < a and not (text[low].isspace() or text[low - 1].isspace()):
-                low += 1
-            if ruler.rough(low, a) < overlap * 3 // 4:  # a script without blanks, or a very long word
-                low = least
-            while low < a and (ruler.exact(low, a) > overlap or ruler.exact(low, b) > limit):
-                low = min(a, ruler.starts[min(bisect_right(ruler.starts, low), ruler.total - 1)])
-            start = min(low, a)
-        out.append((start, b, ruler.exact(start, b)))
+    ruler.place(lengths)
+    tiles = _leaves(ruler, 0, len(text), 0, limit - overlap - 2)
+    if len(tiles) > 1 and ruler.rough(tiles[0][0], tiles[1][1]) <= limit - 2:
+        tiles[:2] = [(tiles[0][0], tiles[1][1])]
+    out, queue, body = [], tiles[::-1], limit - overlap
+    while queue:
+        a, b = queue.pop()
+        start = _overlap_start(ruler, a, out[-1][0] + 1, overlap) if out else a
+        n = ruler.exact(start, b)
+        if n > limit:
+            body = max(1, min(ruler.rough(a, b), body) * 3 // 4)
+            finer = _leaves(ruler, a, b, 0, body)
+            if len(finer) == 1 and b - a > 1:
+                mid = (a + b) // 2
+                finer = [(a, mid), (mid, b)]
+            queue += finer[::-1]
+            continue
+        body = limit - overlap
+        out.append((start, b, n))
     return out
 
 
-def split_documents(docs: DataFrame, key: str, text: str, limit: int = 512, overlap: int = 64, path: str | None = None) -> DataFrame:
+def split_documents(docs: DataFrame, key: str, text: str, limit: int = 512, overlap: int = 64, path: str = RANKS) -> DataFrame:
     """Ordered pieces of every text of more than ``limit`` tokens: key, piece, start, end, tokens, text.
 
     Cut at headings, paragraphs, list items, lines, sentences or words, whichever keeps larger
@@ -115,14 +131,15 @@ def split_documents(docs: DataFrame, key: str, text: str, limit: int = 512, over
     most ``overlap`` tokens. Null, empty and short texts give no rows; repeated rows give their
     pieces again; other columns are ignored. The work is one text at a time with no shuffle.
     """
-    path = path or f"{TOKENIZERS}/byte_bpe_50k.json"
     kind = docs.schema[key].dataType.simpleString()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoding = load(path)
+        lengths = np.array([len(encoding.decode_single_token_bytes(i)) for i in range(encoding.n_vocab)])
         for pdf in batches:
             rows = []
             for k, t in zip(pdf["k"], pdf["t"]):
-                pieces = split_text(t, limit, overlap, path)
+                pieces = split_text(t, limit, overlap, path, lengths)
                 if len(pieces) > 1:
                     rows += [(k, i, a, b, n, t[a:b]) for i, (a, b, n) in enumerate(pieces)]
                 if len(rows) > 5000:
