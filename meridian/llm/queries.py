@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meridian.llm.bpe import encode
 from meridian.llm.components import components
 from meridian.llm.history import retold
+from meridian.llm.mojibake import repair
 from meridian.llm.packing import pack_documents
 from meridian.llm.splitting import split_documents
 from meridian.llm.survivors import survivors
@@ -27,6 +28,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.least("id", "earlier").alias("assertion_id_a"), F.greatest("id", "earlier").alias("assertion_id_b")).distinct()
 
 
+def p3_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links whose anchor is garbled, with the anchor restored as far as can be."""
+    return repair(table(spark, sf_dir, "iccra_report_links_full"), "url", "anchor_text").distinct()
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_repairs(spark, sf_dir).select("url").distinct()
+
+
 def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving picture record of each formation, its missing fields filled from the others."""
     pictures = table(spark, sf_dir, "commons_crop_circle_assertions")
@@ -58,7 +68,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_documents(table(spark, sf_dir, "documents"), "doc_id", "text", 512, 64)
 
 
-QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_pieces": p10_pieces}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_repairs": p3_repairs, "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_pieces": p10_pieces}
 
 _RANKS = " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(STATUS_LADDER))
 _FILLED = " + ".join(f"(CASE WHEN {f} IS NOT NULL{'' if f in ('latitude', 'longitude', 'match_distance_km') else f' AND {f} <> {chr(39)}{chr(39)}'} THEN 1 ELSE 0 END)" for f in SURVIVOR_FIELDS)
