@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meridian.llm.bpe import encode
 from meridian.llm.components import components
+from meridian.llm.confusables import unify
 from meridian.llm.history import retold
 from meridian.llm.mojibake import repair
 from meridian.llm.packing import pack_documents
@@ -37,6 +38,22 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_repairs(spark, sf_dir).select("url").distinct()
 
 
+def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and anchors that hold look-alike or invisible characters, with their consistent form.
+
+    Garbled anchors are no cases; what their decoding left is judged by the operator of problem 3.
+    """
+    pictures = table(spark, sf_dir, "commons_crop_circle_assertions").select(F.lit("commons_crop_circle_assertions").alias("table_name"), F.col("commons_assertion_id").alias("record_key"), F.col("place").alias("text"))
+    links = table(spark, sf_dir, "iccra_report_links_full").select(F.lit("iccra_report_links_full").alias("table_name"), F.col("url").alias("record_key"), F.col("anchor_text").alias("text"))
+    garbled = repair(links, "record_key", "text").select("record_key").distinct()
+    links = links.join(garbled, "record_key", "left_anti").select("table_name", "record_key", "text")
+    return unify(pictures.unionByName(links), ["table_name", "record_key"], "text")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_forms(spark, sf_dir).select("table_name", "record_key").distinct()
+
+
 def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving picture record of each formation, its missing fields filled from the others."""
     pictures = table(spark, sf_dir, "commons_crop_circle_assertions")
@@ -68,7 +85,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_documents(table(spark, sf_dir, "documents"), "doc_id", "text", 512, 64)
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_repairs": p3_repairs, "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_pieces": p10_pieces}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_repairs": p3_repairs, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_pieces": p10_pieces}
 
 _RANKS = " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(STATUS_LADDER))
 _FILLED = " + ".join(f"(CASE WHEN {f} IS NOT NULL{'' if f in ('latitude', 'longitude', 'match_distance_km') else f' AND {f} <> {chr(39)}{chr(39)}'} THEN 1 ELSE 0 END)" for f in SURVIVOR_FIELDS)
