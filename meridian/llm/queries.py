@@ -9,6 +9,7 @@ from meridian.llm.bpe import encode
 from meridian.llm.components import components
 from meridian.llm.confusables import unify
 from meridian.llm.history import retold
+from meridian.llm.linkage import link
 from meridian.llm.mojibake import repair
 from meridian.llm.packing import pack_documents
 from meridian.llm.splitting import split_documents
@@ -54,6 +55,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_forms(spark, sf_dir).select("table_name", "record_key").distinct()
 
 
+def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each picture record's formation, with a confidence."""
+    pictures = table(spark, sf_dir, "commons_crop_circle_assertions")
+    trusted = F.lower(F.trim("match_status")).isin(*STATUS_LADDER[:3])
+    return link(table(spark, sf_dir, "formations"), pictures, "formation_id", "commons_assertion_id", "matched_formation_id", trusted)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_links(spark, sf_dir).select("formation_id", "commons_assertion_id")
+
+
 def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving picture record of each formation, its missing fields filled from the others."""
     pictures = table(spark, sf_dir, "commons_crop_circle_assertions")
@@ -85,7 +97,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_documents(table(spark, sf_dir, "documents"), "doc_id", "text", 512, 64)
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_repairs": p3_repairs, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_pieces": p10_pieces}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_repairs": p3_repairs, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_pieces": p10_pieces}
 
 _RANKS = " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(STATUS_LADDER))
 _FILLED = " + ".join(f"(CASE WHEN {f} IS NOT NULL{'' if f in ('latitude', 'longitude', 'match_distance_km') else f' AND {f} <> {chr(39)}{chr(39)}'} THEN 1 ELSE 0 END)" for f in SURVIVOR_FIELDS)
