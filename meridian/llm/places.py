@@ -49,7 +49,7 @@ def core(folded: Column) -> Column:
     c = F.regexp_replace(folded, r"\([^)]*\)|\[[^\]]*\]", " ")
     c = F.regexp_replace(c, r"[,;/].*$", "")
     c = F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))
-    c = F.regexp_replace(c, r"^(nr|near) ", "")
+    c = F.regexp_replace(c, r"^(nr|near|fields at) ", "")
     return F.regexp_replace(c, r"([aou])e|a(a)", "$1$2")
 
 
