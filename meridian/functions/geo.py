@@ -18,11 +18,16 @@ def _c(x: str | float | Column) -> Column:
     return F.col(x) if isinstance(x, str) else F.lit(x) if isinstance(x, (int, float)) else x
 
 
+def _unit(x: Column) -> Column:
+    """``x`` within [-1, 1]; null stays null, which least() and greatest() would pass over."""
+    return F.when(x > 1, F.lit(1.0)).when(x < -1, F.lit(-1.0)).otherwise(x)
+
+
 def haversine(lat1, lon1, lat2, lon2, radius: float) -> Column:
     """Great-circle distance in the unit of ``radius``; null where any input is null."""
     lat1, lon1, lat2, lon2 = (F.radians(_c(v)) for v in (lat1, lon1, lat2, lon2))
     h = F.pow(F.sin((lat2 - lat1) / 2), 2) + F.cos(lat1) * F.cos(lat2) * F.pow(F.sin((lon2 - lon1) / 2), 2)
-    return F.lit(2 * radius) * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return F.lit(2 * radius) * F.asin(F.sqrt(F.when(h > 1, F.lit(1.0)).otherwise(h)))
 
 
 def haversine_m(lat1, lon1, lat2, lon2, radius: float = DUPLICATE_RADIUS_M) -> Column:
@@ -45,7 +50,7 @@ def destination(lat, lon, azimuth, km) -> tuple[Column, Column]:
     """(latitude, longitude in [-180, 180)) after ``km`` along a great circle."""
     lat, lon, azimuth, d = F.radians(_c(lat)), F.radians(_c(lon)), F.radians(_c(azimuth)), _c(km) / KM_RADIUS
     s = F.sin(lat) * F.cos(d) + F.cos(lat) * F.sin(d) * F.cos(azimuth)
-    to = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s)))
+    to = F.asin(_unit(s))
     east = lon + F.atan2(F.sin(azimuth) * F.sin(d) * F.cos(lat), F.cos(d) - F.sin(lat) * F.sin(to))
     return F.degrees(to), F.pmod(F.degrees(east) + 540.0, F.lit(360.0)) - 180.0
 
@@ -54,7 +59,7 @@ def track(lat, lon, azimuth, lat2, lon2) -> tuple[Column, Column]:
     """(along, cross) kilometres of a target against the great circle from a start at an azimuth."""
     d = haversine_km(lat, lon, lat2, lon2) / KM_RADIUS
     turn = F.radians(bearing(lat, lon, lat2, lon2)) - F.radians(_c(azimuth))
-    cross = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.sin(d) * F.sin(turn))))
+    cross = F.asin(_unit(F.sin(d) * F.sin(turn)))
     along = F.atan2(F.sin(d) * F.cos(turn), F.cos(d))
     return along * KM_RADIUS, cross * KM_RADIUS
 
