@@ -138,19 +138,22 @@ def encode(rows: DataFrame, key: str, text: str, path: str | None = None) -> Dat
     docs = rows.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("rid", F.monotonically_increasing_id())
     hot_words, hot_ids = _hot(rows.select(F.col(text).alias("t")).where("t <> ''").limit(SAMPLE_TEXTS), path)
     known, packed = F.split(F.lit("\x01".join(hot_words)), "\x01", -1), _literal(hot_ids, "bigint")
-    find = lambda w: _let(_slot(w), lambda s: F.when(F.get(known, s) == w, F.get(packed, s)))
+    # A word's code: its only id, or 65536 and its slot, or minus its number among the text's other words.
+    quick = _literal([i if 0 <= i < 65536 else 65536 + s for s, i in enumerate(hot_ids)], "int")
+    find = lambda w: _let(_slot(w), lambda s: F.when(F.get(known, s) == w, F.get(quick, s)))
     coded = docs.select("k", "rid", words_of(F.col("t")).alias("words")).withColumn("codes", F.transform("words", find))
     coded = coded.withColumn("miss", F.array_distinct(F.filter("words", lambda w, i: F.get("codes", i).isNull())))
-    code = lambda c, i: F.coalesce(c, -F.array_position("miss", F.get("words", i)))
+    code = lambda c, i: F.coalesce(c, -F.array_position("miss", F.get("words", i)).cast("int"))
     coded = written(coded.select("k", "rid", F.transform("codes", code).alias("codes"), "miss"), "coded")
     misses = coded.select("rid", F.posexplode("miss").alias("i", "w"))
     # Spread by word, so that the fold is not left to a few merged partitions.
     spread = 4 * docs.sparkSession.sparkContext.defaultParallelism
     dictionary = written(misses.select("w").distinct().repartition(spread, "w").withColumn("ids", encode_word(F.col("w"), path)), "dictionary")
     rare = misses.join(dictionary, "w").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("rare"))
-    one = lambda c: F.when(c < 0, F.get("rare", (-c - 1).cast("int"))["ids"]).when(c < 65536, F.array(c.cast("int"))).otherwise(_unpack(c))
-    open_ = coded.where(F.size("miss") > 0).select("k", "rid", "codes").join(rare, "rid").select(F.col("k").alias(key), F.flatten(F.transform("codes", one)).alias("ids"))
-    shut = coded.where(F.size("miss") == 0).select(F.col("k").alias(key), F.flatten(F.transform("codes", lambda c: F.when(c < 65536, F.array(c.cast("int"))).otherwise(_unpack(c)))).alias("ids"))
+    told = lambda c: F.when(c < 65536, F.array(c)).otherwise(_unpack(F.get(packed, c - 65536)))
+    either = lambda c: F.when(c < 0, F.get("rare", -c - 1)["ids"]).otherwise(told(c))
+    open_ = coded.where(F.size("miss") > 0).select("k", "rid", "codes").join(rare, "rid").select(F.col("k").alias(key), F.flatten(F.transform("codes", either)).alias("ids"))
+    shut = coded.where(F.size("miss") == 0).select(F.col("k").alias(key), F.flatten(F.transform("codes", told)).alias("ids"))
     return open_.unionByName(shut)
 
 
