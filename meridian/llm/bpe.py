@@ -22,7 +22,7 @@ from meridian.runtime import written
 #: Folder of the public vocabularies; never copied into the repository.
 TOKENIZERS = os.environ.get("MERIDIAN_TOKENIZERS", "/opt/tokenizers")
 #: Commonest words kept as a literal, the slots of its table (a bound on its size), and the texts they come from.
-HOT_WORDS, HOT_SLOTS, SAMPLE_TEXTS = 32768, 131072, 5000
+HOT_WORDS, HOT_SLOTS, SAMPLE_TEXTS = 20000, 65536, 5000
 
 # The pattern that cuts a text into words, with white space as Unicode has it.
 _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
