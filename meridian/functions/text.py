@@ -103,7 +103,7 @@ def links(text: Column) -> Column:
 
 def listed(x: Column, by: str = ";") -> Column:
     """Parts of a delimited list, trimmed, without empty ones; empty for null."""
-    return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), by), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), by), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def given(x: Column) -> Column:

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def fit_homography(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray | None:
@@ -149,7 +150,7 @@ def grid_to_wgs84(east: np.ndarray, north: np.ndarray) -> tuple[np.ndarray, np.n
     return np.degrees(phi), np.degrees(np.arctan2(y, x))
 
 
-@F.pandas_udf("struct<latitude double, longitude double>")
+@F.pandas_udf(T.StructType([T.StructField("latitude", T.DoubleType()), T.StructField("longitude", T.DoubleType())]))
 def grid_position(east: pd.Series, north: pd.Series) -> pd.DataFrame:
     """WGS84 position of British grid metres; null for null."""
     e, n = east.to_numpy(float), north.to_numpy(float)

@@ -196,15 +196,15 @@ def in_triangles(points: DataFrame, triangles: DataFrame, leaf_points: int = LEA
     return routed.groupBy("leaf").cogroup(cut.groupBy("leaf")).applyInPandas(meet, f"region {region_type}, px double, py double")
 
 
-def regions_of(points: DataFrame, x: str, y: str, polygons: DataFrame, key: str, ring: str) -> DataFrame:
-    """Every row of ``points`` with the key of each polygon that holds it, as ``region``.
+def regions_of(points: DataFrame, x: str, y: str, polygons: DataFrame, key: str, ring: str, region: str = "assigned_region") -> DataFrame:
+    """Every row of ``points`` with the key of each polygon that holds it, in a column named by ``region``.
 
     Points on a border belong to every region that has the border. Rows with null or NaN positions
     and rows in no region are left out; repeated rows come out as often as they went in.
     """
     spots = points.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)).select((F.col(x) + 0.0).alias("x"), (F.col(y) + 0.0).alias("y")).distinct()
-    hits = in_triangles(spots, triangles_of(polygons, key, ring)).withColumnsRenamed({"px": "__px", "py": "__py"})
-    return points.join(hits, (F.col(x) + 0.0 == F.col("__px")) & (F.col(y) + 0.0 == F.col("__py"))).drop("__px", "__py")
+    hits = in_triangles(spots, triangles_of(polygons, key, ring)).withColumnsRenamed({"px": "__px", "py": "__py", "region": "__region"})
+    return points.join(hits, (F.col(x) + 0.0 == F.col("__px")) & (F.col(y) + 0.0 == F.col("__py"))).withColumn(region, F.col("__region")).drop("__px", "__py", "__region")
 
 
 def _octagon() -> tuple[np.ndarray, np.ndarray]:

@@ -58,7 +58,7 @@ def region_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     ring = F.expr(f"array({corner('west', 'south')}, {corner('east', 'south')}, {corner('east', 'north')}, {corner('west', 'north')})")
     boxes = spark.createDataFrame(BOXES, "region_code string, west double, south double, east double, north double").select("region_code", ring.alias("ring"))
     marks = table(spark, sf_dir, "legacy_kml_candidate_queue").select("legacy_candidate_id", "latitude", "longitude").distinct()
-    return regions_of(marks, "longitude", "latitude", boxes, "region_code", "ring").select("legacy_candidate_id", "region")
+    return regions_of(marks, "longitude", "latitude", boxes, "region_code", "ring", "region").select("legacy_candidate_id", "region")
 
 
 def corridor_join(spark: SparkSession, sf_dir: str) -> DataFrame:
