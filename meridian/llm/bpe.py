@@ -88,32 +88,35 @@ def encode_word(word: Column, path: str) -> Column:
     """Ids of a non-empty word, as array<int>."""
     single, merges, _ = vocabulary(path)
     size, other, first, second = _slots(sorted(merges))
-    keys = _literal(first + second, "bigint")
-    merged = _literal([merges.get(k, -1) for k in first + second], "int")
+    merged_ids = [merges.get(k, -1) for k in first + second]
     none = F.lit(1 << 30)
+    letters = F.filter(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: c != "")
 
-    def rank(key: Column) -> Column:
-        a, b = (key % size).cast("int"), (F.lit(size) + (F.floor(key / size).cast("bigint") + key * 7) % other).cast("int")
-        return F.when(F.get(keys, a) == key, F.get(merged, a)).when(F.get(keys, b) == key, F.get(merged, b)).otherwise(none)
+    def fold(keys: Column, merged: Column) -> Column:
+        def rank(key: Column) -> Column:
+            a, b = (key % size).cast("int"), (F.lit(size) + (F.floor(key / size).cast("bigint") + key * 7) % other).cast("int")
+            return F.when(F.get(keys, a) == key, F.get(merged, a)).when(F.get(keys, b) == key, F.get(merged, b)).otherwise(none)
 
-    def ranks(parts: Column) -> Column:
-        pair = F.zip_with(F.slice(parts, F.lit(1), F.size(parts) - 1), F.slice(parts, F.lit(2), F.size(parts) - 1), lambda a, b: a.cast("bigint") * 65536 + b)
-        return F.transform(pair, rank)
+        def ranks(parts: Column) -> Column:
+            pair = F.zip_with(F.slice(parts, F.lit(1), F.size(parts) - 1), F.slice(parts, F.lit(2), F.size(parts) - 1), lambda a, b: a.cast("bigint") * 65536 + b)
+            return F.transform(pair, rank)
 
-    def state(parts: Column) -> Column:
-        return _let(parts, lambda p: _let(ranks(p), lambda r: F.struct(p.alias("p"), r.alias("r"), F.coalesce(F.array_min(r), none).alias("m"))))
+        def state(parts: Column) -> Column:
+            return _let(parts, lambda p: _let(ranks(p), lambda r: F.struct(p.alias("p"), r.alias("r"), F.coalesce(F.array_min(r), none).alias("m"))))
 
-    def step(s: Column) -> Column:
-        p, r, m = s["p"], s["r"], s["m"]
-        # A pair of two equal parts may overlap itself: of those only the first is merged at a time.
-        here = lambda i, at: (F.get(r, i) == m) & ((i == at) | (F.get(p, i) != F.get(p, i + 1)))
-        swap = lambda at: F.filter(F.transform(p, lambda x, i: F.when((i > 0) & here(i - 1, at), F.lit(None)).when(here(i, at), m).otherwise(x)), lambda x: x.isNotNull())
-        return state(_let((F.array_position(r, m) - 1).cast("int"), swap))
+        def step(s: Column) -> Column:
+            p, r, m = s["p"], s["r"], s["m"]
+            # A pair of two equal parts may overlap itself: of those only the first is merged at a time.
+            here = lambda i, at: (F.get(r, i) == m) & ((i == at) | (F.get(p, i) != F.get(p, i + 1)))
+            swap = lambda at: F.filter(F.transform(p, lambda x, i: F.when((i > 0) & here(i - 1, at), F.lit(None)).when(here(i, at), m).otherwise(x)), lambda x: x.isNotNull())
+            return state(_let((F.array_position(r, m) - 1).cast("int"), swap))
 
-    letters = F.filter(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: c != "")
-    bytes_ids = F.transform(letters, lambda c: F.get(_literal(single, "int"), F.ascii(c)))
-    turns = F.sequence(F.lit(1), F.octet_length(word))
-    return F.aggregate(turns, state(bytes_ids), lambda s, _: F.when(s["m"] >= none, s).otherwise(step(s)), lambda s: s["p"])
+        bytes_ids = F.transform(letters, lambda c: F.get(_literal(single, "int"), F.ascii(c)))
+        turns = F.sequence(F.lit(1), F.octet_length(word))
+        return F.aggregate(turns, state(bytes_ids), lambda s, _: F.when(s["m"] >= none, s).otherwise(step(s)), lambda s: s["p"])
+
+    # Bound to variables, the tables are in the plan once each.
+    return _let(_literal(first + second, "bigint"), lambda keys: _let(_literal(merged_ids, "int"), lambda merged: fold(keys, merged)))
 
 
 def words_of(text: Column) -> Column:
@@ -141,6 +144,8 @@ def encode(rows: DataFrame, key: str, text: str, path: str | None = None) -> Dat
     # A word's code: its only id, or 65536 and its slot, or minus its number among the text's other words.
     quick = _literal([i if 0 <= i < 65536 else 65536 + s for s, i in enumerate(hot_ids)], "int")
     find = lambda w: _let(_slot(w), lambda s: F.when(F.get(known, s) == w, F.get(quick, s)))
+    opened = lambda table, c: F.when(c < 65536, F.array(c)).otherwise(_let(F.get(table, c - 65536), _unpack))
+    ids = lambda rare: _let(packed, lambda table: F.flatten(F.transform("codes", lambda c: F.when(c < 0, F.get("rare", -c - 1)["ids"]).otherwise(opened(table, c)) if rare else opened(table, c))))
     coded = docs.select("k", "rid", words_of(F.col("t")).alias("words")).withColumn("codes", F.transform("words", find))
     coded = coded.withColumn("miss", F.array_distinct(F.filter("words", lambda w, i: F.get("codes", i).isNull())))
     code = lambda c, i: F.coalesce(c, -F.array_position("miss", F.get("words", i)).cast("int"))
@@ -150,10 +155,8 @@ def encode(rows: DataFrame, key: str, text: str, path: str | None = None) -> Dat
     spread = 4 * docs.sparkSession.sparkContext.defaultParallelism
     dictionary = written(misses.select("w").distinct().repartition(spread, "w").withColumn("ids", encode_word(F.col("w"), path)), "dictionary")
     rare = misses.join(dictionary, "w").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("rare"))
-    told = lambda c: F.when(c < 65536, F.array(c)).otherwise(_unpack(F.get(packed, c - 65536)))
-    either = lambda c: F.when(c < 0, F.get("rare", -c - 1)["ids"]).otherwise(told(c))
-    open_ = coded.where(F.size("miss") > 0).select("k", "rid", "codes").join(rare, "rid").select(F.col("k").alias(key), F.flatten(F.transform("codes", either)).alias("ids"))
-    shut = coded.where(F.size("miss") == 0).select(F.col("k").alias(key), F.flatten(F.transform("codes", told)).alias("ids"))
+    open_ = coded.where(F.size("miss") > 0).select("k", "rid", "codes").join(rare, "rid").select(F.col("k").alias(key), ids(True).alias("ids"))
+    shut = coded.where(F.size("miss") == 0).select(F.col("k").alias(key), ids(False).alias("ids"))
     return open_.unionByName(shut)
 
 

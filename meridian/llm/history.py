@@ -113,7 +113,7 @@ def retold(rows: DataFrame) -> DataFrame:
     in order, each probed against the index of those below, then appended; none is read again.
     """
     spark = rows.sparkSession
-    sigs = written(signatures(rows), "signatures")
+    sigs = written(signatures(rows), "signatures", "batch")
     batches = [r[0] for r in sigs.select("batch").distinct().orderBy("batch").collect()]
     index, out = HistoryIndex(spark), []
     for batch in batches:
