@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridian.functions.geo import haversine_m
+from meridian.runtime import written
 
 #: The tree's cuts are fitted on at most this many sampled points; every point is indexed.
 SAMPLE_POINTS = 200_000
@@ -242,8 +243,8 @@ def pairs_within(rows: DataFrame, key: str, lat: str, lon: str, metres: float, r
     """
     y, x = F.col(lat).cast("double"), F.col(lon).cast("double")
     sound = y.isNotNull() & x.isNotNull() & ~F.isnan(y) & ~F.isnan(x) & (F.abs(y) <= 90) & (F.abs(x) <= 180) & ~((y == 0) & (x == 0)) & F.col(key).isNotNull()
-    placed = rows.where(sound).select(F.col(key).alias("key"), (y + 0.0).alias("y"), (x + 0.0).alias("x")).distinct()
-    spots = placed.select("x", "y").distinct()
+    placed = written(rows.where(sound).select(F.col(key).alias("key"), (y + 0.0).alias("y"), (x + 0.0).alias("x")).distinct(), "placed")
+    spots = written(placed.select("x", "y").distinct(), "spots")
     discs = spots.withColumn("region", F.struct("x", "y"))
     flat = _disc_triangles(discs, metres, radius).withColumns({"rx": F.col("region.x"), "ry": F.col("region.y")})
     flat = flat.withColumn("region", F.concat_ws("|", F.col("rx").cast("string"), F.col("ry").cast("string"))).drop("rx", "ry")

@@ -41,8 +41,9 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to a Parquet table in the shared folder and read back."""
+def written(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """``df`` written to a Parquet table in the shared folder, partitioned by columns, and read back."""
     path = scratch(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(*by) if by else out).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
