@@ -24,9 +24,10 @@ TOKENIZERS = os.environ.get("MERIDIAN_TOKENIZERS", "/opt/tokenizers")
 #: Commonest words kept as a literal, the slots of its table (a bound on its size), and the texts they come from.
 HOT_WORDS, HOT_SLOTS, SAMPLE_TEXTS = 20000, 65536, 5000
 
-# The pattern that cuts a text into words, with white space as Unicode has it.
+# The pattern that cuts a text into words, with white space as Unicode has it. Letters and
+# digits come first: nothing else can match where they do, and most words are theirs.
 _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+PATTERN = rf" ?\p{{L}}+| ?\p{{N}}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
 
 def _byte_letters() -> dict[str, int]:
@@ -140,28 +141,34 @@ def encode(rows: DataFrame, key: str, text: str, path: str | None = None) -> Dat
     path = path or f"{TOKENIZERS}/byte_bpe_50k.json"
     docs = rows.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("rid", F.monotonically_increasing_id())
     hot_words, hot_ids = _hot(rows.select(F.col(text).alias("t")).where("t <> ''").limit(SAMPLE_TEXTS), path)
-    known, packed = F.split(F.lit("\x01".join(hot_words)), "\x01", -1), _literal(hot_ids, "bigint")
-    # A word's code: its only id, or 65536 and its slot, or minus its number among the text's other words.
-    quick = _literal([i if 0 <= i < 65536 else 65536 + s for s, i in enumerate(hot_ids)], "int")
-    find = lambda w: _let(_slot(w), lambda s: F.when(F.get(known, s) == w, F.get(quick, s)))
-    opened = lambda table, c: F.when(c < 65536, F.array(c)).otherwise(_let(F.get(table, c - 65536), _unpack))
+    numbers = {w: i for i, w in enumerate(w for w in hot_words if w)}
+    known, quick = F.split(F.lit("\x01".join(hot_words)), "\x01", -1), _literal([numbers.get(w, -1) for w in hot_words], "int")
+    packed = _literal([i for w, i in zip(hot_words, hot_ids) if w] or [-1], "bigint")
+    # A word's code: its number among the common words, or minus its number, from 1, among the text's other words.
+    opened = lambda table, c: _let(F.get(table, c), lambda p: F.when(p < 65536, F.array(p.cast("int"))).otherwise(_unpack(p)))
     ids = lambda rare: _let(packed, lambda table: F.flatten(F.transform("codes", lambda c: F.when(c < 0, F.get("rare", -c - 1)["ids"]).otherwise(opened(table, c)) if rare else opened(table, c))))
-    coded = docs.select("k", "rid", words_of(F.col("t")).alias("words")).withColumn("codes", F.transform("words", find))
-    coded = coded.withColumn("miss", F.array_distinct(F.filter("words", lambda w, i: F.get("codes", i).isNull())))
-    code = lambda c, i: F.coalesce(c, -F.array_position("miss", F.get("words", i)).cast("int"))
-    coded = written(coded.select("k", "rid", F.transform("codes", code).alias("codes"), "miss"), "coded")
+    coded = docs.select("k", "rid", words_of(F.col("t")).alias("words")).withColumn("slots", F.transform("words", _slot))
+    coded = coded.withColumn("found", F.zip_with("words", "slots", lambda w, s: F.when(F.get(known, s) == w, F.get(quick, s))))
+    coded = coded.withColumn("miss", F.array_distinct(F.filter("words", lambda w, i: F.get("found", i).isNull())))
+    coded = coded.withColumn("codes", F.transform("found", lambda c, i: F.coalesce(c, -F.array_position("miss", F.get("words", i)).cast("int"))))
+    # Two bytes a code, but for a text of very many words of its own.
+    short = F.size("miss") < 32768
+    coded = coded.select("k", "rid", F.when(short, F.col("codes").cast("array<smallint>")).alias("small"), F.when(~short, F.col("codes")).alias("large"), "miss")
+    coded = written(coded, "coded")
+    codes = F.coalesce(F.col("small").cast("array<int>"), F.col("large")).alias("codes")
     misses = coded.select("rid", F.posexplode("miss").alias("i", "w"))
     # Spread by word, so that the fold is not left to a few merged partitions.
     spread = 4 * docs.sparkSession.sparkContext.defaultParallelism
     dictionary = written(misses.select("w").distinct().repartition(spread, "w").withColumn("ids", encode_word(F.col("w"), path)), "dictionary")
     rare = misses.join(dictionary, "w").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("rare"))
-    open_ = coded.where(F.size("miss") > 0).select("k", "rid", "codes").join(rare, "rid").select(F.col("k").alias(key), ids(True).alias("ids"))
-    shut = coded.where(F.size("miss") == 0).select(F.col("k").alias(key), ids(False).alias("ids"))
+    joined = coded.where(F.size("miss") > 0).select("k", "rid", "small", "large").join(rare, "rid").select("k", codes, "rare")
+    open_ = joined.select(F.col("k").alias(key), ids(True).alias("ids"))
+    shut = coded.where(F.size("miss") == 0).select("k", codes).select(F.col("k").alias(key), ids(False).alias("ids"))
     return open_.unionByName(shut)
 
 
 def _slot(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(HOT_SLOTS)).cast("int")
+    return F.hash(word).bitwiseAND(HOT_SLOTS - 1)
 
 
 def _unpack(code: Column) -> Column:
