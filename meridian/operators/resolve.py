@@ -35,16 +35,23 @@ def keep_first(rows: DataFrame, keys: Sequence[str], *order: Column) -> DataFram
 
 
 def strict_best(rows: DataFrame, keys: Sequence[str], score: str, tie: str) -> DataFrame:
-    """Rows with the greatest score of their key, where no other row shares it."""
-    at = Window.partitionBy(*keys).orderBy(F.col(score).desc_nulls_last(), F.col(tie))
-    ranked = rows.withColumns({"__n": F.row_number().over(at), "__next": F.lead(score).over(at)})
-    return ranked.where((F.col("__n") == 1) & (F.col("__next").isNull() | (F.col("__next") < F.col(score)))).drop("__n", "__next")
+    """Rows with the greatest score of their key, where no other row shares it; null scores are none.
+
+    Two aggregations that combine before their shuffles, so a key with any share of the rows is no
+    task of its own.
+    """
+    rest = [c for c in rows.columns if c not in (*keys, score)]
+    same = rows.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count("*").alias("__n"), F.min_by(F.struct(*rest), F.col(tie)).alias("__r"))
+    best = same.groupBy(*keys).agg(F.max_by(F.struct(score, "__n", "__r"), F.col(score)).alias("__b")).where("__b.__n = 1")
+    return best.select(*keys, F.col(f"__b.`{score}`").alias(score), *(F.col(f"__b.__r.`{c}`").alias(c) for c in rest)).select(*rows.columns)
 
 
 def top_tier(rows: DataFrame, keys: Sequence[str], tier: str) -> DataFrame:
     """All rows of the least tier of their key, with the number of them as ``candidates``."""
-    best = rows.withColumn("__t", F.min(tier).over(Window.partitionBy(*keys))).where(F.col(tier) == F.col("__t")).drop("__t")
-    return best.withColumn("candidates", F.count("*").over(Window.partitionBy(*keys)))
+    counts = rows.groupBy(*keys, tier).agg(F.count("*").alias("__n"))
+    best = counts.groupBy(*keys).agg(F.min(F.struct(tier, "__n")).alias("__b"))
+    best = best.select(*keys, F.col(f"__b.`{tier}`").alias(tier), F.col("__b.__n").alias("candidates"))
+    return rows.join(best, [*keys, tier]).select(*rows.columns, "candidates")
 
 
 def last_wins(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
