@@ -285,6 +285,27 @@ def coverage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(why.alias("outcome")).agg(F.count("*").alias("rows"), F.count_distinct("legacy_candidate_id").alias("candidates"))
 
 
+def alias_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted aliases that are named twice, or that are canonical for others: what a plain fold would get wrong."""
+    clean = lambda c: given(F.lower(c))
+    rows = table(spark, sf_dir, "formation_alias_reviews").where(F.lower(F.trim("review_status")) == "accepted").select(clean("alias_formation_id").alias("a"), clean("canonical_formation_id").alias("c")).where("a <> c").distinct()
+    sides = rows.select(F.col("a").alias("id"), F.lit(1).alias("as_alias"), F.lit(0).alias("as_canonical")).unionByName(rows.select(F.col("c").alias("id"), F.lit(0).alias("as_alias"), F.lit(1).alias("as_canonical")))
+    per = sides.groupBy("id").agg(F.sum("as_alias").alias("named"), F.sum("as_canonical").alias("canonical_for"))
+    return per.where("named > 1 OR (named > 0 AND canonical_for > 0)").select("id", "named", "canonical_for")
+
+
+def geocode_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places looked up by whole name, all but the last word, and first word: the first variant that is known, its best source."""
+    rows = resolve.keep_first(_assertions(spark, sf_dir), ["assertion_id"], F.col("batch_no")).select("assertion_id", F.coalesce("country_code", F.lit("")).alias("cc"), normal(F.regexp_replace("place", "[/;].*$", "")).alias("whole"))
+    words = F.split("whole", " ")
+    variants = F.array(F.col("whole"), F.array_join(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), " "), F.element_at(words, 1))
+    asked = rows.where("whole <> ''").select("assertion_id", "cc", F.posexplode(variants).alias("variant", "name")).where("name <> ''")
+    known = table(spark, sf_dir, "formations").where("latitude IS NOT NULL AND NOT isnan(latitude)").select("formation_id", F.coalesce("country_code", F.lit("")).alias("cc"), normal(F.col("place")).alias("name"), F.coalesce("source_count", F.lit(0)).alias("weight")).distinct()
+    best = known.groupBy("cc", "name").agg(F.min(F.struct((-F.col("weight")).alias("w"), "formation_id")).alias("b"))
+    hits = asked.join(best, ["cc", "name"]).groupBy("assertion_id").agg(F.min(F.struct("variant", "b.formation_id")).alias("h"))
+    return hits.select("assertion_id", "h.variant", "h.formation_id")
+
+
 def certified_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue, once its certificate (twelve unique sources) holds."""
     rows = audit.certified(table(spark, sf_dir, "source_catalog"), "source_id", 12, ["source_id", "name", "url"])
@@ -301,7 +322,7 @@ def lenient_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     entity_resolution, keep_first_dedup, keep_last_dedup, best_snapshot, strict_best_match, ranked_match, match_cascade, token_jaccard_block, alias_merge, override_resolution, link_union_last_wins, managed_replace,
     fk_explode_index, image_count_union, fill_missing_slots, interval_overlap, work_queue_rank, marginal_counts, grouping_sets, summary_counts, top_n_counts, conditional_distinct, source_yield, set_overlap, reconciliation,
-    confusion_metrics, error_summary, axis_mean, segment_clusters, reference_merge, carry_forward, latest_state, fk_audit, uniqueness_audit, coverage_audit, certified_scan, lenient_flags,
+    confusion_metrics, error_summary, axis_mean, segment_clusters, reference_merge, carry_forward, latest_state, fk_audit, uniqueness_audit, coverage_audit, certified_scan, lenient_flags, alias_guard, geocode_variants,
 )}
 
 _A1 = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY assertion_id ORDER BY batch_no) AS rn FROM source_assertions) WHERE rn = 1)"
@@ -399,6 +420,16 @@ SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, count(*) FILTER (W
         for n, k in (("source_assertions", "assertion_id"), ("formations", "formation_id"), ("commons_crop_circle_assertions", "commons_assertion_id"), ("legacy_kml_candidate_queue", "legacy_candidate_id"), ("iccra_report_links_full", "url"))
     ),
     "coverage_audit": """SELECT CASE WHEN latitude IS NULL OR longitude IS NULL THEN 'no_position' WHEN abs(latitude) > 90 OR abs(longitude) > 180 THEN 'impossible' WHEN latitude = 0 AND longitude = 0 THEN 'placeholder' ELSE 'usable' END AS outcome, count(*) AS rows, count(DISTINCT legacy_candidate_id) AS candidates FROM legacy_kml_candidate_queue GROUP BY 1""",
+    "alias_guard": """
+WITH r AS (SELECT DISTINCT nullif(trim(lower(alias_formation_id)), '') a, nullif(trim(lower(canonical_formation_id)), '') c FROM formation_alias_reviews WHERE lower(trim(review_status)) = 'accepted'),
+s AS (SELECT a AS id, 1 AS x, 0 AS y FROM r WHERE a <> c UNION ALL SELECT c, 0, 1 FROM r WHERE a <> c), p AS (SELECT id, sum(x) AS named, sum(y) AS canonical_for FROM s GROUP BY id)
+SELECT * FROM p WHERE named > 1 OR (named > 0 AND canonical_for > 0)""",
+    "geocode_variants": f"""
+WITH r AS (SELECT assertion_id, coalesce(country_code, '') cc, {_N("regexp_replace(place, '[/;].*$', '')")} w FROM {_A1}), s AS (SELECT *, string_split(w, ' ') l FROM r WHERE w <> ''),
+v AS (SELECT assertion_id, cc, 0 AS variant, w AS name FROM s UNION ALL SELECT assertion_id, cc, 1, array_to_string(l[1:len(l) - 1], ' ') FROM s UNION ALL SELECT assertion_id, cc, 2, l[1] FROM s),
+k AS (SELECT DISTINCT formation_id, coalesce(country_code, '') cc, {_N("place")} name, coalesce(source_count, 0) wt FROM formations WHERE latitude IS NOT NULL AND NOT isnan(latitude)),
+b AS (SELECT cc, name, arg_min(formation_id, (-wt, formation_id)) f FROM k GROUP BY 1, 2)
+SELECT assertion_id, min(variant) AS variant, arg_min(f, variant) AS formation_id FROM v JOIN b USING (cc, name) WHERE name <> '' GROUP BY assertion_id""",
     "certified_scan": "SELECT source_id, name FROM source_catalog",
     "lenient_flags": """
 WITH r AS (SELECT DISTINCT nullif(trim(lower(alias_formation_id)), '') a, nullif(trim(lower(canonical_formation_id)), '') c, coalesce(lower(trim(review_status)) = 'accepted', false) ok FROM formation_alias_reviews)

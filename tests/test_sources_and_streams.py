@@ -56,3 +56,15 @@ def test_stream_agrees_with_batch(spark, data, tmp_path, run):
     query.stop()
     got, want = {tuple(r) for r in spark.table(f"out_{run}").collect()}, {tuple(r) for r in make(events).collect()}
     assert got and (got <= want if run == "sessions" else got == want)
+
+
+def test_pages(spark):
+    from meridian.sources.html import parse_pages
+
+    html = "<html><title>A &amp; B</title><script>var x='<a href=no>'</script><body><ul><li><a href='../x.html#f'>One <b>two</b></a><li><img src=p.jpg alt='a  b'><p>para"
+    df = spark.createDataFrame([("https://h.example/d/i.html", html), ("u", None), ("e", "")], "url string, html string")
+    got = {r.url: r for r in parse_pages(df, "url", "html").collect()}
+    page = got["https://h.example/d/i.html"]
+    assert page.title == "A & B" and [(a.url, a.text) for a in page.links] == [("https://h.example/x.html", "One two")]
+    assert [(i.url, i.alt) for i in page.images] == [("https://h.example/d/p.jpg", "a b")] and page.text == "One two\npara"
+    assert got["u"].title is None and got["e"].links == []
