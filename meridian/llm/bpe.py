@@ -145,7 +145,7 @@ def encode(rows: DataFrame, key: str, text: str, path: str | None = None) -> Dat
     known, quick = F.split(F.lit("\x01".join(hot_words)), "\x01", -1), _literal([numbers.get(w, -1) for w in hot_words], "int")
     packed = _literal([i for w, i in zip(hot_words, hot_ids) if w] or [-1], "bigint")
     # A word's code: its number among the common words, or minus its number, from 1, among the text's other words.
-    opened = lambda table, c: _let(F.get(table, c), lambda p: F.when(p < 65536, F.array(p.cast("int"))).otherwise(_unpack(p)))
+    opened = lambda table, c: F.when(F.get(table, c) < 65536, F.array(F.get(table, c).cast("int"))).otherwise(_unpack(F.get(table, c)))
     ids = lambda rare: _let(packed, lambda table: F.flatten(F.transform("codes", lambda c: F.when(c < 0, F.get("rare", -c - 1)["ids"]).otherwise(opened(table, c)) if rare else opened(table, c))))
     coded = docs.select("k", "rid", words_of(F.col("t")).alias("words")).withColumn("slots", F.transform("words", _slot))
     coded = coded.withColumn("found", F.zip_with("words", "slots", lambda w, s: F.when(F.get(known, s) == w, F.get(quick, s))))
