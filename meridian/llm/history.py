@@ -81,7 +81,7 @@ class HistoryIndex:
     def append(self, posted: DataFrame, batch: int) -> None:
         bucket = F.pmod(F.xxhash64("token"), F.lit(self.parts)).cast("int")
         out = posted.withColumn("bucket", bucket).repartition(self.parts, "bucket").sortWithinPartitions("bucket", "token")
-        out.write.partitionBy("bucket").parquet(f"{self.path}/batch-{batch}")
+        out.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/batch={batch}")
         self.schema = posted.schema
         self.batches.append(batch)
 
@@ -89,7 +89,8 @@ class HistoryIndex:
         """(sig, first) for events of ``posted`` that history tells: the posting of the lowest batch and id."""
         if not self.batches:
             return posted.select("sig", "first").limit(0)
-        history = reduce(DataFrame.unionByName, (self.spark.read.schema(self.schema).parquet(f"{self.path}/batch-{b}") for b in self.batches))
+        read = self.spark.read.option("basePath", self.path).schema(self.schema)
+        history = read.parquet(*(f"{self.path}/batch={b}" for b in self.batches)).select(*self.schema.names)
         wanted = posted.select("token").distinct()
         if wanted.count() <= SIFT_TOKENS:
             history = history.join(F.broadcast(wanted), "token", "left_semi")
