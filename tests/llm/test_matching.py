@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from meridian.llm import confusables, mojibake
 from meridian.llm.history import retold
-from meridian.llm.linkage import link
+from meridian.llm.linkage import Space, _keys, link, with_tokens
 from meridian.llm.places import core, fold, number, one_slip, same_area
 
 STORY = "assertion_id string, batch_no int, date_iso string, place string, region string, country_code string, sig string, token long"
@@ -146,3 +146,22 @@ def test_links_between_sources(spark):
     assert not {"x1", "x2", "x3"} & set(got) and right_ >= 0.95 * len(want) and right_ >= 0.98 * len(got)
     assert all(0 <= r.confidence <= 1 for r in got.values())
     assert link(left.limit(0), right, "fid", "pid").count() == 0 and link(left, right.limit(0), "fid", "pid").count() == 0
+
+
+def test_slips_meet_in_blocks_of_large_tables(spark):
+    rng = random.Random(9)
+    part = lambda: "".join(rng.choice(["ash", "kel", "tor", "mor", "wim", "pel", "sib", "yar", "lud", "gum"]) for _ in range(2)) + rng.choice(["ford", "holt", "wald", "mond"])
+    names = [f"{part()} {rng.choice(['down', 'hill', 'wood', 'moor', 'cross'])}" for _ in range(600)]
+    slips = [n[: (at := rng.randrange(1, len(n) - 3))] + n[at + 1 :] if i % 2 else n[: (at := rng.randrange(1, len(n) - 3))] + n[at + 1] + n[at] + n[at + 2 :] for i, n in enumerate(names)]
+    rows = [(i, n, s) for i, (n, s) in enumerate(zip(names, slips))]
+    df = spark.createDataFrame(rows, "rid long, known string, asked string").selectExpr("*", "'' AS area", "2001 AS year", "DATE '2001-07-05' AS day", "CAST(NULL AS double) AS lat", "CAST(NULL AS double) AS lon")
+    sides = [with_tokens(df.withColumn("name", F.col(c))).toPandas() for c in ("known", "asked")]
+    for count, bits in ((12_000, 4), (120_000, 8), (1_200_000, 11)):
+        space, met = Space(sides[0].to_dict("records"), count), []
+        for pdf, asked in zip(sides, (False, True)):
+            blocks: dict[int, set] = {}
+            for out in _keys(space, asked)([pdf]):
+                for rid, own in zip(out["rid"], out["blocks"]):
+                    blocks.setdefault(rid, set()).update(own)
+            met.append(blocks)
+        assert space.year_bits == bits and sum(bool(met[0][i] & met[1][i]) for i in range(600)) >= 0.9 * 600
