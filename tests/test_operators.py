@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meridian.functions import dates, geo, text
 from meridian.operators import analytics, audit, geometry, graph, match, resolve
+from meridian.plans import space_queries
 
 ONE = "SELECT 1 AS one"
 
@@ -140,3 +141,16 @@ def test_tiles_reach_the_edges(spark):
     tiles = geometry.tile_grid(rasters, "k", "w", "h", 512, 512, [1.0]).collect()
     assert {(t.k, t.x0, t.y0) for t in tiles} == {("r", 0, 0), ("r", 488, 0), ("r", 0, 88), ("r", 488, 88), ("small", 0, 0)}
     assert math.isclose(1.0, tiles[0].scale)
+
+
+def test_corridor_of_every_formation(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    rows = [(f"cc_{i * 4099 % 65536:04x}{i:08x}", float(50 + a), float(b), "GB") for i, (a, b) in enumerate(rng.uniform(0, 3, (80, 2)))] + [("cc_f0000000aaaa", -17.0, 179.9, "FJ"), ("cc_005a0000aaaa", -17.0, -179.5, "FJ"), ("cc_e05a0000bbbb", 89.0, 0.0, ""), ("cc_e05a0000cccc", 89.5, 170.0, "")]
+    df = spark.createDataFrame(rows, "formation_id string, latitude double, longitude double, country_code string")
+    df.write.parquet(f"{tmp_path}/formations.parquet")
+    got = {(r.ray_id, r.site_id) for r in space_queries.corridor_join(spark, str(tmp_path)).collect()}
+    rays = df.selectExpr("formation_id AS r", "latitude AS a", "longitude AS b", "CAST(CAST(conv(substring(formation_id, 4, 4), 16, 10) AS int) % 360 AS double) AS z")
+    along, cross = geo.track("a", "b", "z", "latitude", "longitude")
+    pairs = rays.crossJoin(df).where("r <> formation_id").withColumns({"d": geo.haversine_km("a", "b", "latitude", "longitude"), "al": along, "cr": F.abs(cross)}).where("d >= 1 AND al BETWEEN 0 AND 300 AND cr <= 10")
+    want = {(p.r, p.formation_id) for p in pairs.collect()}
+    assert got == want and len({r for r, _ in got if r[3] not in "01"}) > 20
