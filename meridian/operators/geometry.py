@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -35,33 +37,64 @@ def fit_homography(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -
     return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else None
 
 
-def fit_maps(points: DataFrame, by: Sequence[str], kind: str = "homography", most: int = 4096) -> DataFrame:
+def _solved(kind: str, n: int, sums: dict, ta: np.ndarray, tb: np.ndarray) -> np.ndarray | None:
+    """The map of normalised points from the sums of their products, ``ta`` and ``tb`` undone; None if degenerate."""
+    p = {w: np.array([[sums[f"{w}_{a}{b}" if a <= b else f"{w}_{b}{a}"] for b in range(3)] for a in range(3)], float) for w in ("o", "u", "v", "q")}
+    if n < (4 if kind == "homography" else 3) or not all(np.isfinite(m).all() for m in p.values()):
+        return None
+    if kind == "homography":
+        zero = np.zeros((3, 3))
+        values, vectors = np.linalg.eigh(np.block([[p["o"], zero, -p["u"]], [zero, p["o"], -p["v"]], [-p["u"], -p["v"], p["q"]]]))
+        if values[1] < 1e-13 * values[-1]:
+            return None
+        h = np.linalg.inv(tb) @ vectors[:, 0].reshape(3, 3) @ ta
+        return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else None
+    values = np.linalg.eigvalsh(p["o"])
+    if values[0] < 1e-13 * values[-1]:
+        return None
+    h = np.vstack([np.linalg.solve(p["o"], np.stack([p["u"][2], p["v"][2]], 1)).T, [0, 0, 1]])
+    return np.linalg.inv(tb) @ h @ ta
+
+
+def fit_maps(points: DataFrame, by: Sequence[str], kind: str = "homography") -> DataFrame:
     """(by, map, rmse, n): homography or affine map of each group's (x, y) to (u, v), nine numbers by rows.
 
-    Null where a group has too few points or they are degenerate. Control points of a group are a
-    bounded set: beyond ``most`` an error is raised, none is dropped.
+    Null where a group has too few points or they are degenerate (a ten-millionth of their spread off a line,
+    say). Sums of products of the normalised points are aggregated over all rows; no group is gathered.
     """
     kinds = points.select(*by).schema.simpleString()[len("struct<") : -1].replace(":", " ")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"more than {most} control points")
-        x, y, u, v = (pdf[c].to_numpy(float) for c in "xyuv")
-        if kind == "homography":
-            h = fit_homography(x, y, u, v)
-        else:
-            a = np.stack([x, y, np.ones(len(x))], 1)
-            h = None
-            if len(x) >= 3 and np.linalg.matrix_rank(a) == 3:
-                h = np.vstack([np.linalg.lstsq(a, np.stack([u, v], 1), rcond=None)[0].T, [0, 0, 1]])
-        rmse = None
-        if h is not None:
-            p = h @ np.stack([x, y, np.ones(len(x))])
-            rmse = float(np.sqrt((((p[:2] / p[2]) - np.stack([u, v])) ** 2).sum(0).mean()))
-        head = {c: [pdf[c].iloc[0]] for c in by}
-        return pd.DataFrame(head | {"map": [None if h is None else h.ravel().tolist()], "rmse": [rmse], "n": [len(pdf)]})
-
-    return points.where("x IS NOT NULL AND y IS NOT NULL AND u IS NOT NULL AND v IS NOT NULL").groupBy(*by).applyInPandas(fit, f"{kinds}, map array<double>, rmse double, n int")
+    points = points.where("x IS NOT NULL AND y IS NOT NULL AND u IS NOT NULL AND v IS NOT NULL").select(*by, *(F.col(c).cast("double").alias(c) for c in "xyuv"))
+
+    def joined(rows: DataFrame, groups: DataFrame) -> DataFrame:
+        side = groups.withColumnsRenamed({c: f"__by{i}" for i, c in enumerate(by)})
+        same = [F.col(c).eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate(by)]
+        return rows.join(side, reduce(and_, same)).drop(*(f"__by{i}" for i in range(len(by))))
+
+    def norm(a: Column, b: Column) -> Column:
+        return F.sqrt(a * a + b * b)
+
+    centres = points.groupBy(*by).agg(*(F.avg(c).alias(f"m{c}") for c in "xyuv"))
+    spreads = joined(points, centres).groupBy(*by).agg(*(F.first(f"m{c}").alias(f"m{c}") for c in "xyuv"), *(F.avg(norm(F.col(a) - F.col(f"m{a}"), F.col(b) - F.col(f"m{b}"))).alias(f"d{a}") for a, b in ("xy", "uv")))
+    stats = spreads.select(*by, *(f"m{c}" for c in "xyuv"), *(F.when(F.col(f"d{a}") > 0, F.lit(math.sqrt(2)) / F.when(F.col(f"d{a}") > 0, F.col(f"d{a}"))).otherwise(1.0).alias(f"s{a}") for a in "xu"))
+    x, y, u, v = ((F.col(c) - F.col(f"m{c}")) * F.col(f"s{s}") for c, s in zip("xyuv", "xxuu"))
+    p, weights = [x, y, F.lit(1.0)], {"o": F.lit(1.0), "u": u, "v": v, "q": u * u + v * v}
+    keep = [f"m{c}" for c in "xyuv"] + ["sx", "su"]
+    sums = joined(points, stats).groupBy(*by).agg(F.count("*").cast("int").alias("n"), *(F.first(c).alias(c) for c in keep), *(F.sum(w * p[a] * p[b]).alias(f"{k}_{a}{b}") for k, w in weights.items() for a in range(3) for b in range(a, 3)))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            maps = []
+            for r in pdf.to_dict("records"):
+                ta, tb = (np.array([[r[s], 0, -r[s] * r[a]], [0, r[s], -r[s] * r[b]], [0, 0, 1]]) for s, a, b in (("sx", "mx", "my"), ("su", "mu", "mv")))
+                h = _solved(kind, r["n"], r, ta, tb)
+                maps.append(None if h is None else h.ravel().tolist())
+            yield pdf[[*by, "n"]].assign(map=pd.Series(maps, index=pdf.index, dtype=object))
+
+    maps = sums.mapInPandas(solve, f"{kinds}, n int, map array<double>")
+    to_u, to_v = apply_map(F.col("map"), F.col("x"), F.col("y"))
+    off = F.coalesce((to_u - F.col("u")) ** 2 + (to_v - F.col("v")) ** 2, F.lit(float("inf")))
+    fits = joined(points, maps).groupBy(*by).agg(F.first("map").alias("map"), F.sqrt(F.avg(F.when(F.col("map").isNotNull(), off))).alias("rmse"), F.first("n").alias("n"))
+    return fits.select(*by, "map", "rmse", "n")
 
 
 def apply_map(h: Column, x: Column, y: Column) -> tuple[Column, Column]:

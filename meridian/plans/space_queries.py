@@ -96,7 +96,7 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def affine_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The affine map of each country's degrees to Mercator metres."""
     rows = _placed(spark, sf_dir).where("country_code <> ''").withColumns(dict(zip(("u", "v"), geo.mercator("latitude", "longitude"))))
-    points = rows.where(F.conv(F.substring("formation_id", 4, 2), 16, 10).cast("int") < 8).select("country_code", F.col("longitude").alias("x"), F.col("latitude").alias("y"), F.col("u") / 1000, F.col("v") / 1000).toDF("country_code", "x", "y", "u", "v")
+    points = rows.select("country_code", F.col("longitude").alias("x"), F.col("latitude").alias("y"), F.col("u") / 1000, F.col("v") / 1000).toDF("country_code", "x", "y", "u", "v")
     return geometry.fit_maps(points, ["country_code"], "affine").select("country_code", F.round(F.element_at("map", 1), 4).alias("a"), F.round("rmse", 4).alias("rmse"), "n")
 
 
@@ -105,7 +105,7 @@ def homography_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.array(*map(F.lit, (1.2, 0.1, 3.0, -0.05, 0.9, 1.0, 0.0004, 0.0002, 1.0)))
     rows = _placed(spark, sf_dir).where("country_code <> ''")
     u, v = geometry.apply_map(h, F.col("longitude"), F.col("latitude"))
-    points = rows.where(F.conv(F.substring("formation_id", 4, 2), 16, 10).cast("int") < 8).select("country_code", F.col("longitude").alias("x"), F.col("latitude").alias("y"), u.alias("u"), v.alias("v"))
+    points = rows.select("country_code", F.col("longitude").alias("x"), F.col("latitude").alias("y"), u.alias("u"), v.alias("v"))
     return geometry.fit_maps(points, ["country_code"]).select("country_code", F.round(F.element_at("map", 1), 3).alias("h11"), F.round(F.element_at("map", 3), 2).alias("h13"), "n")
 
 

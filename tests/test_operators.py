@@ -154,3 +154,29 @@ def test_corridor_of_every_formation(spark, tmp_path):
     pairs = rays.crossJoin(df).where("r <> formation_id").withColumns({"d": geo.haversine_km("a", "b", "latitude", "longitude"), "al": along, "cr": F.abs(cross)}).where("d >= 1 AND al BETWEEN 0 AND 300 AND cr <= 10")
     want = {(p.r, p.formation_id) for p in pairs.collect()}
     assert got == want and len({r for r, _ in got if r[3] not in "01"}) > 20
+
+
+@pytest.mark.parametrize("kind", ["homography", "affine"])
+def test_maps_of_large_groups_against_single_fits(spark, kind):
+    rng = np.random.default_rng(4)
+    x, y = rng.uniform(-5, 5, (2, 6000)) + np.array([[-100], [40]])
+    w = 0.0004 * x + 0.0002 * y + 1 if kind == "homography" else 1.0
+    u, v = (1.2 * x + 0.1 * y + 3 + rng.normal(0, 1e-4, 6000)) / w, (-0.05 * x + 0.9 * y + 1 + rng.normal(0, 1e-4, 6000)) / w
+    rows = [("all", *map(float, r)) for r in zip(x, y, u, v)] + [("line", float(i), 2.0 * i, float(i), 0.0) for i in range(9)] + [("few", 0.0, 1.0, 2.0, 3.0), (None, None, 1.0, 1.0, 1.0)]
+    got = {r.g: r for r in geometry.fit_maps(spark.createDataFrame(rows, "g string, x double, y double, u double, v double"), ["g"], kind).collect()}
+    h = np.array(got["all"].map).reshape(3, 3)
+    if kind == "homography":
+        part = slice(0, 1500)  # the single fit keeps a square of its rows
+        want = geometry.fit_homography(x[part], y[part], u[part], v[part])
+    else:
+        want = np.vstack([np.linalg.lstsq(np.stack([x, y, np.ones(6000)], 1), np.stack([u, v], 1), rcond=None)[0].T, [0, 0, 1]])
+    p = h @ np.stack([x, y, np.ones(6000)])
+    assert np.allclose(h, want, rtol=1e-3, atol=1e-3) and got["all"].n == 6000
+    assert got["all"].rmse == pytest.approx(np.sqrt(((p[:2] / p[2] - [u, v]) ** 2).sum(0).mean())) and got["all"].rmse < 1e-3
+    assert (got["line"].map, got["few"].map, got["few"].rmse, got["line"].n) == (None, None, None, 9) and None not in got
+
+
+def test_fits_take_all_ids(spark, tmp_path):
+    places = [(f"cc_{i:02x}", 50.0 + i % 7, -3.0 + i % 5 * (1 + i % 2), "GB") for i in range(0, 256, 4)]
+    spark.createDataFrame(places, "formation_id string, latitude double, longitude double, country_code string").write.parquet(f"{tmp_path}/formations.parquet")
+    assert [f(spark, str(tmp_path)).first().n for f in (space_queries.affine_fit, space_queries.homography_fit)] == [64, 64]
