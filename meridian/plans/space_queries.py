@@ -158,10 +158,17 @@ def marker_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def category_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What accepted alias pairs reach in three steps from the ids that begin with cc_0."""
+    """What accepted alias pairs reach in three steps from every alias that is no other id's canonical id.
+
+    Of a ring of ids that nothing else leads to, the smallest id is a root too where the ring is a reversed pair.
+    """
     clean = lambda c: F.nullif(F.trim(F.lower(c)), F.lit(""))
     edges = table(spark, sf_dir, "formation_alias_reviews").where(F.lower(F.trim("review_status")) == "accepted").select(clean("alias_formation_id").alias("a"), clean("canonical_formation_id").alias("b"))
-    return graph.levels(edges, "a", "b", edges.where(F.col("a").startswith("cc_0")).select(F.col("a").alias("node")), 3)
+    led = edges.where("a <> b").select(F.col("b").alias("node"), F.col("a").alias("by")).distinct()
+    # A reversed pair is its smaller id's; the larger one's word for it doesn't count.
+    back = led.select(F.col("by").alias("node"), F.col("node").alias("by"))
+    led = led.join(back, ["node", "by"], "left_anti").unionByName(led.join(back, ["node", "by"], "left_semi").where("node > by"))
+    return graph.levels(edges, "a", "b", edges.select(F.col("a").alias("node")).join(led.select("node"), "node", "left_anti"), 3)
 
 
 def mean_positions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,3 +180,10 @@ def test_fits_take_all_ids(spark, tmp_path):
     places = [(f"cc_{i:02x}", 50.0 + i % 7, -3.0 + i % 5 * (1 + i % 2), "GB") for i in range(0, 256, 4)]
     spark.createDataFrame(places, "formation_id string, latitude double, longitude double, country_code string").write.parquet(f"{tmp_path}/formations.parquet")
     assert [f(spark, str(tmp_path)).first().n for f in (space_queries.affine_fit, space_queries.homography_fit)] == [64, 64]
+
+
+def test_levels_from_all_roots(spark, tmp_path):
+    pairs = [("cc_f1", "cc_f2"), ("cc_f2", "cc_f3"), ("cc_f3", "cc_f4"), ("cc_f4", "cc_f5"), ("cc_a1", "cc_a1"), ("cc_a1", "cc_a2"), ("cc_b1", "cc_b2"), ("cc_b2", "cc_b1")]
+    spark.createDataFrame([(a, b, "accepted") for a, b in pairs], "alias_formation_id string, canonical_formation_id string, review_status string").write.parquet(f"{tmp_path}/formation_alias_reviews.parquet")
+    got = {r.node: r.level for r in space_queries.category_levels(spark, str(tmp_path)).collect()}
+    assert got == {"cc_f1": 0, "cc_f2": 1, "cc_f3": 2, "cc_f4": 3, "cc_a1": 0, "cc_a2": 1, "cc_b1": 0, "cc_b2": 1}
