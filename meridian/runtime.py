@@ -6,6 +6,7 @@ cluster names in ``spark.checkpoint.dir``; a folder of our own is only used wher
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,15 +22,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, set as the context's checkpoint folder."""
+    """The folder that all executors share, set as the context's checkpoint folder.
+
+    Where the session names none, a temporary one is made under a local master; on a cluster, whose
+    executors would each write to a disk of their own, that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
-        named = named or tempfile.mkdtemp(prefix="meridian-")
+        named = named or own_dir(spark.sparkContext.master)
         spark.sparkContext.setCheckpointDir(named)
     return named or current.get()
 
 
+def own_dir(master: str) -> str:
+    """A temporary folder of this machine, which only a local master may use."""
+    if not re.fullmatch(r"local(\[[^]]*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+    return tempfile.mkdtemp(prefix="meridian-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and read back from a reliable checkpoint."""
     shared_dir(df.sparkSession)
@@ -47,3 +59,29 @@ def written(df: DataFrame, label: str, *by: str) -> DataFrame:
     out = df.write.option("compression", "zstd")
     (out.partitionBy(*by) if by else out).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file in one go, in whatever file system the path names: beside it first, then renamed."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fresh = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(fresh, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(where, False)
+    if not fs.rename(fresh, where):
+        raise OSError(f"{path} could not be written")
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, None where there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return None
+    stream = fs.open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
