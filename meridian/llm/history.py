@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meridian.llm.places import abbreviated, area, core, fold, number, one_slip, same_area, slots
-from meridian.runtime import scratch, written
+from meridian.runtime import BROADCAST_BYTES, get_text, put_text, scratch, written
 
 #: Slots of the hashed trigrams; the table of their frequencies is a literal of this length.
 SLOTS = 16384
 #: One slip of the pen changes at most this many trigrams of a name.
 SLIP_GRAMS = 4
-#: At most this many different tokens of a batch are broadcast to sift the postings; beyond, they are joined.
-SIFT_TOKENS = 500_000
-#: A word is a kind of site, not part of a name, if it is at least this share of the base's words.
-KIND_SHARE = 1 / 2000
+#: A name of so few trigrams is posted under its spellings short of one letter too, up to this length.
+SHORT_NAME = 64
+#: Months of one folder of postings, and postings of one of its files.
+SPAN_MONTHS, FILE_POSTINGS = 120, 500_000
+#: A word is a kind of site, not part of a name, if at least this share of the different names, and so many, hold it.
+KIND_SHARE, KIND_NAMES = 1 / 1000, 8
 
-_SIG = "sig string, ym int, day int, num string, name string, area string, short boolean, cc string, grams array<int>, n int"
+_FACTS = ["ym", "day", "num", "name", "area", "short", "cc"]
 
 
 def signatures(rows: DataFrame) -> DataFrame:
@@ -35,97 +39,151 @@ def signatures(rows: DataFrame) -> DataFrame:
         area(region).alias("area"), abbreviated(region).alias("short"), F.upper(F.coalesce("country_code", F.lit(""))).alias("cc"),
     )
     base = base.where("name <> '' AND y IS NOT NULL AND m IS NOT NULL").withColumn("ym", F.col("y") * 12 + F.col("m"))
-    facts = ["ym", "day", "num", "name", "area", "short", "cc"]
-    once = base.groupBy("id").agg(F.min(F.struct("batch", *facts)).alias("r")).select("id", "r.*")
-    return once.withColumn("sig", F.concat_ws("|", "ym", F.coalesce(F.col("day").cast("string"), F.lit("")), *facts[2:]))
+    once = base.groupBy("id").agg(F.min(F.struct("batch", *_FACTS)).alias("r")).select("id", "r.*")
+    return once.withColumn("sig", F.concat_ws("|", "ym", F.coalesce(F.col("day").cast("string"), F.lit("")), *_FACTS[2:]))
+
+
+def _short_tokens(name: Column, grams: Column) -> Column:
+    """Slots by which names of few trigrams meet, else none.
+
+    Two names one slip apart share a spelling short of one letter, or the shorter is that spelling of
+    the longer. Long names of few trigrams, which repeat themselves, meet by their length, or the next.
+    """
+    slot = lambda kind, c: F.pmod(F.xxhash64(F.lit(kind), c), F.lit(SLOTS)).cast("int")
+    n = F.length(name)
+    spelled = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(SHORT_NAME))), lambda i: slot("less", F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, n))))
+    lengths = F.array(slot("length", n), slot("length", n + 1))
+    few = F.size(grams) <= SLIP_GRAMS
+    return F.when(few & (n <= SHORT_NAME), F.array_distinct(F.concat(F.array(slot("less", name)), spelled))).when(few, lengths).otherwise(F.array().cast("array<int>"))
 
 
 class HistoryIndex:
-    """Postings of everything accepted, in a folder; a batch is probed, then appended.
+    """Postings of everything accepted, in a folder; a batch is probed, then accepted.
 
     An event is posted under the rarest ``SLIP_GRAMS + 1`` of its tokens (month, trigram). Two
     names that are one slip apart share all but ``SLIP_GRAMS`` of their trigrams, so by the prefix
-    principle their prefixes share a token: candidates are complete. The order of rarity is that
-    of the first batch and stays fixed. Equal events of a batch are one posting, that of the
-    smallest id, so copies never meet in pairs. Postings are partitioned by token; a probe reads
-    the postings, sifts them by the batch's tokens, and shuffles those that remain.
+    principle their prefixes share a token wherever one of them has more trigrams than that; names
+    of fewer are posted under further tokens, which meet too. So candidates are complete. The
+    order of rarity is that of the first batch and stays fixed.
+
+    Equal events of a batch are one posting, that of the smallest id, so copies never meet in
+    pairs. Postings lie in folders by batch and span of months, sorted by token; a probe reads the
+    spans, and in them the row groups, of the months that the batch has, sifts them by the batch's
+    tokens, and shuffles what remains. What else the index knows (order of rarity, words of the
+    names, batches accepted) is beside the postings, so another session opens it by its path; a
+    batch counts once its name is in that state, and one that was interrupted is written anew.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, parts: int = 16) -> None:
-        self.spark, self.path, self.parts, self.batches = spark, path or scratch(spark, "history"), parts, []
-        self.rarity: list[int] | None = None
-        self.kinds: list[str] = []
+    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
+        self.spark, self.path = spark, path or scratch(spark, "history")
+        state = json.loads(get_text(spark, f"{self.path}/state.json") or "{}")
+        self.batches: list[int] = state.get("batches", [])
+        self.rarity: list[int] | None = state.get("rarity")
+
+    def _keep(self) -> None:
+        put_text(self.spark, f"{self.path}/state.json", json.dumps({"batches": self.batches, "rarity": self.rarity}))
 
-    def fit(self, sigs: DataFrame) -> None:
-        """Trigram frequencies and kinds of site of the first batch; both bounded by the parameters."""
-        grams = sigs.select("sig", "name").distinct().select(F.explode(slots(F.col("name"), SLOTS)).alias("g")).groupBy("g").count()
+    def _fit(self, sigs: DataFrame) -> None:
+        """Trigram frequencies of the first batch; their number is bounded by the slots."""
+        grams = sigs.select("name").distinct().select(F.explode(slots(F.col("name"), SLOTS)).alias("g")).groupBy("g").count()
         self.rarity = [0] * SLOTS
         for r in grams.collect():
             self.rarity[r["g"]] = r["count"]
-        words = sigs.select(F.explode(F.split("name", " ")).alias("w")).groupBy("w").count()
-        total = words.agg(F.sum("count")).first()[0] or 0
-        self.kinds = [r["w"] for r in words.where(F.col("count") >= max(8, total * KIND_SHARE)).select("w").collect()]
 
-    def _events(self, sigs: DataFrame) -> DataFrame:
-        facts = ["ym", "day", "num", "name", "area", "short", "cc"]
-        events = sigs.groupBy("sig").agg(F.min(F.struct("batch", "id")).alias("first"), *(F.first(c).alias(c) for c in facts))
+    def _kinds(self, sigs: DataFrame, batch: int) -> list[str]:
+        """Words that many different names hold, in this batch's names or those before; at most 1 / ``KIND_SHARE`` words a name."""
+        names = sigs.select("name").distinct().where(F.col("name").contains(" "))
+        words = names.select(F.explode(F.array_distinct(F.split("name", " "))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+        words = words.unionByName(names.agg(F.lit("").alias("word"), F.count("*").alias("n")))
+        if self.batches:
+            words = words.unionByName(self.spark.read.parquet(f"{self.path}/words/batch={self.batches[-1]}").select("word", "n")).groupBy("word").agg(F.sum("n").alias("n"))
+        seen = Observation()
+        words.observe(seen, F.max(F.when(F.col("word") == "", F.col("n"))).alias("names")).write.mode("overwrite").parquet(f"{self.path}/words/batch={batch}")
+        words = self.spark.read.schema("word string, n long").parquet(f"{self.path}/words/batch={batch}")
+        total = seen.get["names"] or 0
+        return [r["word"] for r in words.where((F.col("word") != "") & (F.col("n") >= max(KIND_NAMES, total * KIND_SHARE))).collect()]
+
+    def _post(self, sigs: DataFrame, batch: int, rows: int) -> tuple[DataFrame, list[int], int]:
+        """Writes the postings of a batch of at most ``rows`` rows: read back, their months and their number."""
+        events = sigs.groupBy("sig").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in _FACTS))
         events = events.withColumn("grams", slots(F.col("name"), SLOTS)).withColumn("n", F.size("grams"))
         rarity = F.split(F.lit(",".join(map(str, self.rarity))), ",").cast("array<int>")
         ranked = F.array_sort(F.transform("grams", lambda g: F.struct(F.get(rarity, g).alias("f"), g.alias("g"))))
-        return events.withColumn("prefix", F.transform(F.slice(ranked, 1, SLIP_GRAMS + 1), lambda x: F.col("ym").cast("bigint") * SLOTS + x["g"]))
-
-    def postings(self, sigs: DataFrame) -> DataFrame:
-        events = self._events(sigs)
-        return events.select(F.explode("prefix").alias("token"), "first", *(c.split(" ")[0] for c in _SIG.split(", ")))
-
-    def append(self, posted: DataFrame, batch: int) -> None:
-        bucket = F.pmod(F.xxhash64("token"), F.lit(self.parts)).cast("int")
-        out = posted.withColumn("bucket", bucket).repartition(self.parts, "bucket").sortWithinPartitions("bucket", "token")
-        out.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/batch={batch}")
-        self.schema = posted.schema
-        self.batches.append(batch)
-
-    def probe(self, posted: DataFrame) -> DataFrame:
-        """(sig, first) for events of ``posted`` that history tells: the posting of the lowest batch and id."""
-        if not self.batches:
-            return posted.select("sig", "first").limit(0)
-        read = self.spark.read.option("basePath", self.path).schema(self.schema)
-        history = read.parquet(*(f"{self.path}/batch={b}" for b in self.batches)).select(*self.schema.names)
-        wanted = posted.select("token").distinct()
-        if wanted.count() <= SIFT_TOKENS:
-            history = history.join(F.broadcast(wanted), "token", "left_semi")
+        prefix = F.array_distinct(F.concat(F.transform(F.slice(ranked, 1, SLIP_GRAMS + 1), lambda x: x["g"]), _short_tokens(F.col("name"), F.col("grams"))))
+        tokens = F.transform(prefix, lambda g: F.col("ym").cast("bigint") * SLOTS + g)
+        # Who asks is told by the signature; the first batch asks nothing.
+        sig = F.unhex(F.md5("sig")) if self.batches else F.lit(None).cast("binary")
+        posted = events.select(F.explode(tokens).alias("token"), "id", *_FACTS, "n", sig.alias("sig"), F.floor(F.col("ym") / SPAN_MONTHS).cast("int").alias("span"))
+        files = max(1, math.ceil(rows * (SLIP_GRAMS + 1) / FILE_POSTINGS))
+        spread = posted.repartition(max(files, self.spark.sparkContext.defaultParallelism), F.col("span"), F.pmod(F.xxhash64("token"), F.lit(files)))
+        path = f"{self.path}/postings/batch={batch}"
+        seen = Observation()
+        spread = spread.observe(seen, F.collect_set("ym").alias("months"), F.count("*").alias("n"))
+        spread.sortWithinPartitions("span", "token").write.mode("overwrite").option("compression", "zstd").partitionBy("span").parquet(path)
+        return self.spark.read.schema(posted.schema).parquet(path), sorted(seen.get["months"] or []), seen.get["n"] or 0
+
+    def _probe(self, posted: DataFrame, months: list[int], n: int, kinds: list[str]) -> DataFrame:
+        """(sig, batch, earlier): for events that history tells, the posting of the lowest batch and id."""
+        if not months:
+            return posted.select("sig", F.lit(0).alias("batch"), F.col("id").alias("earlier")).limit(0)
+        spans = sorted({m // SPAN_MONTHS for m in months})
+        kept = [f for f in posted.schema.names if f not in ("sig", "span")]
+        read = self.spark.read.schema(T.StructType([*posted.schema, T.StructField("batch", T.IntegerType())])).option("basePath", f"{self.path}/postings")
+        history = read.parquet(*(f"{self.path}/postings/batch={b}" for b in self.batches))
+        history = history.where(F.col("span").isin(spans) & F.col("ym").between(months[0], months[-1]) & F.col("ym").isin(months)).select("batch", *kept)
+        # A long and its entry in the hashed relation are some 32 bytes; where the batch is larger, the join itself sifts.
+        if n * 32 <= BROADCAST_BYTES:
+            history = history.join(F.broadcast(posted.select("token").distinct()), "token", "left_semi")
         a, b = history.alias("a"), posted.alias("b")
         days = F.col("a.day").isNull() | F.col("b.day").isNull() | (F.abs(F.col("a.day") - F.col("b.day")) <= 2)
         pairs = a.join(b, "token").where((F.col("a.num") == F.col("b.num")) & days & (F.abs(F.length("a.name") - F.length("b.name")) <= 1) & (F.abs(F.col("a.n") - F.col("b.n")) <= SLIP_GRAMS))
         pairs = pairs.where(same_area(F.col("a.area"), F.col("a.short"), F.col("b.area"), F.col("b.short")))
         pairs = pairs.where(((F.col("a.area") != "") & (F.col("b.area") != "")) | (F.col("a.cc") == "") | (F.col("b.cc") == "") | (F.col("a.cc") == F.col("b.cc")))
-        pairs = pairs.where(F.size(F.array_intersect("a.grams", "b.grams")) >= F.greatest("a.n", "b.n") - SLIP_GRAMS)
-        pairs = pairs.where(one_slip(F.col("a.name"), F.col("b.name")))
+        same = F.size(F.array_intersect(slots(F.col("a.name"), SLOTS), slots(F.col("b.name"), SLOTS))) >= F.greatest("a.n", "b.n") - SLIP_GRAMS
+        pairs = pairs.where((F.col("a.name") == F.col("b.name")) | (same & one_slip(F.col("a.name"), F.col("b.name"))))
         words = lambda x, y: F.array_except(F.split(f"{x}.name", " "), F.split(f"{y}.name", " "))
-        common = F.array(*map(F.lit, self.kinds)).cast("array<string>")
-        pairs = pairs.where(~(F.arrays_overlap(words("a", "b"), common) & F.arrays_overlap(words("b", "a"), common)))
-        return pairs.groupBy("b.sig").agg(F.min("a.first").alias("first"))
+        common = F.split(F.lit(" ".join(kinds)), " ")
+        pairs = pairs.where((F.col("a.name") == F.col("b.name")) | ~(F.arrays_overlap(words("a", "b"), common) & F.arrays_overlap(words("b", "a"), common)))
+        found = pairs.groupBy("b.sig").agg(F.min("a.batch").alias("batch"), F.min(F.concat(F.lpad(F.col("a.batch").cast("string"), 10, "0"), F.lit("|"), "a.id")).alias("first"))
+        return found.select("sig", "batch", F.substring("first", 12, 1 << 30).alias("earlier"))
+
+    def accept(self, sigs: DataFrame, batch: int, rows: int | None = None) -> DataFrame | None:
+        """(sig, batch, earlier) for the batch's events that history tells, ``sig`` hashed; then the batch is history too.
+
+        ``sigs`` has the batch's ``signatures``; ``rows`` is their number where it is known. Batches
+        come in rising order; one accepted before is refused. None where there is no history yet.
+        """
+        if self.batches and batch <= self.batches[-1]:
+            raise ValueError(f"batch {batch} comes after batch {self.batches[-1]} was accepted")
+        if self.rarity is None:
+            self._fit(sigs)
+        posted, months, n = self._post(sigs, batch, sigs.count() if rows is None else rows)
+        kinds = self._kinds(sigs, batch)
+        found = written(self._probe(posted, months, n, kinds), "found") if self.batches else None
+        self.batches.append(batch)
+        self._keep()
+        return found
 
 
-def retold(rows: DataFrame) -> DataFrame:
+def retold(rows: DataFrame, path: str | None = None) -> DataFrame:
     """(id, earlier, earlier_batch): each row of a later batch whose event a lower batch tells.
 
     ``earlier`` is the row of the lowest batch telling it, of several the smallest id. Batches go
-    in order, each probed against the index of those below, then appended; none is read again.
+    in order, each probed against the index of those below, then accepted. With the ``path`` of an
+    index that was kept, batches that it has are history, and only the others are probed.
     """
     spark = rows.sparkSession
     sigs = written(signatures(rows), "signatures", "batch")
-    batches = [r[0] for r in sigs.select("batch").distinct().orderBy("batch").collect()]
-    index, out = HistoryIndex(spark), []
-    for batch in batches:
-        own = sigs.where(F.col("batch") == batch)
-        if index.rarity is None:
-            index.fit(own)
-        posted = written(index.postings(own), "postings")
-        if index.batches:
-            found = written(index.probe(posted), "found")
-            out.append(own.select("id", "sig").join(found, "sig").select("id", F.col("first.id").alias("earlier"), F.col("first.batch").alias("earlier_batch")))
-        index.append(posted, batch)
-    if not out:
+    sizes = {r["batch"]: r["count"] for r in sigs.groupBy("batch").count().collect()}
+    index, found = HistoryIndex(spark, path), []
+    for batch in sorted(b for b in sizes if b not in index.batches):
+        told = index.accept(sigs.where(F.col("batch") == batch), batch, sizes[batch])
+        if told is not None:
+            found.append(told.select("sig", F.col("batch").alias("earlier_batch"), "earlier", F.lit(batch).alias("batch")))
+    if not found:
         return sigs.select("id", F.col("id").alias("earlier"), F.col("batch").alias("earlier_batch")).limit(0)
-    return reduce(DataFrame.unionByName, out)
+    every = found[0]
+    for told in found[1:]:
+        every = every.unionByName(told)
+    own = sigs.select("id", "batch", F.unhex(F.md5("sig")).alias("sig"))
+    return own.join(every, ["batch", "sig"]).select("id", "earlier", "earlier_batch")

@@ -25,6 +25,9 @@ def _accents() -> tuple[str, str]:
     return old, new
 
 
+# Words that say where to from a place, before its name, maybe after what lies there.
+_ADDED = r"^(?:(?:the )?(?:fields?|crops?|land|site|area) )?(?:nr|near|nearby|at|by|beside|outside|opposite|behind|above|below|(?:close|next|adjacent) to|just off|(?:just )?(?:north|south|east|west|ne|nw|se|sw) of) (?=\S)"
+
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
 _NARROW = "".join(map(chr, range(0x21, 0x7F)))
 
@@ -36,7 +39,7 @@ def fold(text: Column) -> Column:
     c = F.translate(c, *_accents())
     for sign, plain in _PLAIN.items():
         c = F.replace(c, F.lit(sign), F.lit(plain))
-    return c
+    return F.when(text.rlike(r"^[\x00-\x7f]*$"), F.lower(text)).otherwise(c)
 
 
 def number(folded: Column) -> Column:
@@ -49,7 +52,7 @@ def core(folded: Column) -> Column:
     c = F.regexp_replace(folded, r"\([^)]*\)|\[[^\]]*\]", " ")
     c = F.regexp_replace(c, r"[,;/].*$", "")
     c = F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))
-    c = F.regexp_replace(c, r"^(nr|near|fields at) ", "")
+    c = F.regexp_replace(c, _ADDED, "")
     return F.regexp_replace(c, r"([aou])e|a(a)", "$1$2")
 
 
@@ -69,9 +72,11 @@ def same_area(a: Column, a_short: Column, b: Column, b_short: Column) -> Column:
 
 def one_slip(a: Column, b: Column) -> Column:
     """Whether names differ by at most one letter added, lost or changed, or two neighbours swapped."""
-    changed = F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x != y), lambda x: x))
-    swapped = (F.length(a) == F.length(b)) & (F.levenshtein(a, b, 2) == 2) & (F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, ""))) & (changed == 2)
-    return (a == b) | (F.levenshtein(a, b, 1) >= 0) | swapped
+    letters = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    changed = F.filter(F.transform(letters, lambda p, i: F.struct(i.alias("i"), p["x"].alias("x"), p["y"].alias("y"))), lambda p: p["x"] != p["y"])
+    first, second = F.get(changed, F.lit(0)), F.get(changed, F.lit(1))
+    swapped = (F.size(changed) == 2) & (second["i"] == first["i"] + 1) & (first["x"] == second["y"]) & (first["y"] == second["x"])
+    return (a == b) | (F.levenshtein(a, b, 1) >= 0) | ((F.length(a) == F.length(b)) & (F.levenshtein(a, b, 2) == 2) & F.coalesce(swapped, F.lit(False)))
 
 
 def slots(name: Column, size: int) -> Column:

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from meridian.llm import confusables, mojibake
-from meridian.llm.history import retold
+from meridian.llm import history
+from meridian.llm.history import HistoryIndex, retold, signatures
 from meridian.llm.linkage import Space, _keys, link, with_tokens
 from meridian.llm.places import core, fold, number, one_slip, same_area
 
@@ -37,7 +38,8 @@ def test_retold_against_all_pairs(spark):
             name = name[:at] + name[at + 1 :]
         rows.append(told(f"k{i:03d}", rng.randrange(4), rng.choice(["2001-07-%02d" % rng.randrange(1, 9), "2001-07"]), name, rng.choice(["Wendshire", None, "Wend."])))
     df = spark.createDataFrame(rows, STORY)
-    got = {r.id: r.earlier for r in retold(df).collect()}
+    others = spark.createDataFrame([told(f"z{i}{kind}", 0, "1990-05-01", f"{stem}ham {kind}") for i, stem in enumerate(["Tor", "Wim", "Pel", "Sib", "Lud", "Gum", "Yar", "Quen"]) for kind in ("Down", "Ridge", "Bridge", "Wood")], STORY)
+    got = {r.id: r.earlier for r in retold(df.unionByName(others)).collect()}
     place = fold(F.col("place"))
     flat = df.select("assertion_id", "batch_no", "date_iso", "region", core(place).alias("name"), number(place).alias("num")).toPandas().to_dict("records")
     kinds = {"down", "ridge", "bridge", "wood"}
@@ -56,6 +58,35 @@ def test_retold_against_all_pairs(spark):
     assert got == want
 
 
+def test_short_names_are_met_too(spark):
+    pairs = [("Ely", "Eby"), ("Bath", "Btah"), ("Bath", "Bah"), ("Io", "Yo"), ("Ab", "Ba"), ("A", "B"), ("Usk", "Uskk"), ("aaaa", "aaab"), ("Xaaaaaaaa", "aaaaaaaa"), ("ab" * 60, "ab" * 60 + "a"), ("Otley", "Olney")]
+    rows = [told(f"{side}{i:02d}", side == "b", f"20{i:02d}-07-05", name) for i, pair in enumerate(pairs) for side, name in zip("ab", pair)]
+    rows = [(k, int(b), *rest) for k, b, *rest in rows]
+    got = {r.id: r.earlier for r in retold(spark.createDataFrame(rows, STORY)).collect()}
+    assert got == {f"b{i:02d}": f"a{i:02d}" for i in range(len(pairs) - 1)}
+
+
+def test_an_index_is_opened_again_by_its_path(spark, monkeypatch):
+    path = history.scratch(spark, "kept")
+    first = spark.createDataFrame([told("a1", 0, "2001-07-05", "Ludgumond Down"), told("a2", 1, "2001-08-05", "Kelbridge Hill")], STORY)
+    assert retold(first, path).count() == 0
+    monkeypatch.setattr(HistoryIndex, "_keep", lambda self: (_ for _ in ()).throw(RuntimeError("interrupted")))
+    second = spark.createDataFrame([told("b1", 2, "2001-07-06", "Ludgumnod Down"), told("b2", 2, "2001-08-05", "Kelbridge Hill")], STORY)
+    with pytest.raises(RuntimeError):
+        retold(second, path)
+    monkeypatch.undo()
+    again = spark.newSession()
+    got = {r.id: (r.earlier, r.earlier_batch) for r in retold(again.createDataFrame(second.collect(), STORY), path).collect()}
+    assert got == {"b1": ("a1", 0), "b2": ("a2", 1)}
+    index = HistoryIndex(again, path)
+    assert index.batches == [0, 1, 2]
+    with pytest.raises(ValueError):
+        index.accept(signatures(second), 2)
+    monkeypatch.setattr(history, "BROADCAST_BYTES", 0)
+    third = again.createDataFrame([told("c1", 3, "2001-07-05", "Ludgumond Down")], STORY)
+    assert [(r.id, r.earlier) for r in retold(third, path).collect()] == [("c1", "a1")]
+
+
 def test_retold_of_nothing(spark):
     assert retold(spark.createDataFrame([], STORY)).count() == 0
     assert retold(spark.createDataFrame([told("a", 0, "2001-07-05", "x")], STORY)).count() == 0
