@@ -135,17 +135,24 @@ class HistoryIndex:
         if n * 32 <= BROADCAST_BYTES:
             history = history.join(F.broadcast(posted.select("token").distinct()), "token", "left_semi")
         a, b = history.alias("a"), posted.alias("b")
+        name, other = F.col("a.name"), F.col("b.name")
         days = F.col("a.day").isNull() | F.col("b.day").isNull() | (F.abs(F.col("a.day") - F.col("b.day")) <= 2)
-        pairs = a.join(b, "token").where((F.col("a.num") == F.col("b.num")) & days & (F.abs(F.length("a.name") - F.length("b.name")) <= 1) & (F.abs(F.col("a.n") - F.col("b.n")) <= SLIP_GRAMS))
-        pairs = pairs.where(same_area(F.col("a.area"), F.col("a.short"), F.col("b.area"), F.col("b.short")))
+        # From the cheapest test to the dearest: a slip is at most two letters' change, whatever its trigrams.
+        pairs = a.join(b, "token").where((F.col("a.num") == F.col("b.num")) & days & (F.abs(F.length(name) - F.length(other)) <= 1) & (F.abs(F.col("a.n") - F.col("b.n")) <= SLIP_GRAMS))
+        pairs = pairs.where((name == other) | (F.levenshtein(name, other, 2) >= 0))
         pairs = pairs.where(((F.col("a.area") != "") & (F.col("b.area") != "")) | (F.col("a.cc") == "") | (F.col("b.cc") == "") | (F.col("a.cc") == F.col("b.cc")))
-        same = F.size(F.array_intersect(slots(F.col("a.name"), SLOTS), slots(F.col("b.name"), SLOTS))) >= F.greatest("a.n", "b.n") - SLIP_GRAMS
-        pairs = pairs.where((F.col("a.name") == F.col("b.name")) | (same & one_slip(F.col("a.name"), F.col("b.name"))))
-        words = lambda x, y: F.array_except(F.split(f"{x}.name", " "), F.split(f"{y}.name", " "))
+        pairs = pairs.where(same_area(F.col("a.area"), F.col("a.short"), F.col("b.area"), F.col("b.short")))
+        first = F.concat(F.lpad(F.col("a.batch").cast("string"), 10, "0"), F.lit("|"), "a.id")
+        # A pair of names is verified once, however many tokens, copies and batches it met by: of those the first counts.
+        # The asked name is its signature's; as an aggregate it keeps the verification from being moved below, into the join.
+        once = pairs.groupBy("b.sig", name.alias("a")).agg(F.min(first).alias("first"), F.min(other).alias("b"))
+        a, b, grams = F.col("a"), F.col("b"), lambda c: slots(c, SLOTS)
+        same = F.size(F.array_intersect(grams(a), grams(b))) >= F.greatest(F.size(grams(a)), F.size(grams(b))) - SLIP_GRAMS
+        words = lambda x, y: F.array_except(F.split(x, " "), F.split(y, " "))
         common = F.split(F.lit(" ".join(kinds)), " ")
-        pairs = pairs.where((F.col("a.name") == F.col("b.name")) | ~(F.arrays_overlap(words("a", "b"), common) & F.arrays_overlap(words("b", "a"), common)))
-        found = pairs.groupBy("b.sig").agg(F.min("a.batch").alias("batch"), F.min(F.concat(F.lpad(F.col("a.batch").cast("string"), 10, "0"), F.lit("|"), "a.id")).alias("first"))
-        return found.select("sig", "batch", F.substring("first", 12, 1 << 30).alias("earlier"))
+        kept = ~(F.arrays_overlap(words(a, b), common) & F.arrays_overlap(words(b, a), common))
+        told = once.where((a == b) | (one_slip(a, b) & same & kept)).groupBy("sig").agg(F.min("first").alias("first"))
+        return told.select("sig", F.substring("first", 1, 10).cast("int").alias("batch"), F.substring("first", 12, 1 << 30).alias("earlier"))
 
     def accept(self, sigs: DataFrame, batch: int, rows: int | None = None) -> DataFrame | None:
         """(sig, batch, earlier) for the batch's events that history tells, ``sig`` hashed; then the batch is history too.
