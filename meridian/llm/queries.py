@@ -13,8 +13,8 @@ from meridian.llm.linkage import link
 from meridian.llm.mojibake import repair
 from meridian.llm.packing import pack_documents
 from meridian.llm.splitting import split_documents
-from meridian.llm.survivors import survivors
-from meridian.runtime import table
+from meridian.llm.survivors import chosen, survivors
+from meridian.runtime import table, written
 
 # Match statuses from the most trusted.
 STATUS_LADDER = [
@@ -46,9 +46,11 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     pictures = table(spark, sf_dir, "commons_crop_circle_assertions").select(F.lit("commons_crop_circle_assertions").alias("table_name"), F.col("commons_assertion_id").alias("record_key"), F.col("place").alias("text"))
     links = table(spark, sf_dir, "iccra_report_links_full").select(F.lit("iccra_report_links_full").alias("table_name"), F.col("url").alias("record_key"), F.col("anchor_text").alias("text"))
-    garbled = repair(links, "record_key", "text").select("record_key").distinct()
-    links = links.join(garbled, "record_key", "left_anti").select("table_name", "record_key", "text")
-    return unify(pictures.unionByName(links), ["table_name", "record_key"], "text")
+    forms = written(unify(pictures.unionByName(links), ["table_name", "record_key"], "text"), "forms")
+    # Only anchors that hold something of the kind are asked whether they are garbled.
+    anchors = forms.where(F.col("table_name") == "iccra_report_links_full").select("table_name", F.col("text").alias("key"), "text").distinct()
+    garbled = repair(anchors, "key", "text", corpus=links).select(F.lit("iccra_report_links_full").alias("table_name"), F.col("key").alias("text")).distinct()
+    return forms.join(garbled, ["table_name", "text"], "left_anti").select("table_name", "record_key", "text", "unified")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,11 +71,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving picture record of each formation, its missing fields filled from the others."""
     pictures = table(spark, sf_dir, "commons_crop_circle_assertions")
-    return survivors(pictures, "matched_formation_id", "commons_assertion_id", "match_status", STATUS_LADDER, SURVIVOR_FIELDS, "retrieved_at")
+    return survivors(pictures, "matched_formation_id", "commons_assertion_id", "match_status", STATUS_LADDER, SURVIVOR_FIELDS, "retrieved_at", "commons_image_id")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p6_records(spark, sf_dir).select("matched_formation_id", "commons_assertion_id")
+    """The survivors alone: what fills their fields has no part in their choice, so it is not computed."""
+    pictures = table(spark, sf_dir, "commons_crop_circle_assertions")
+    return chosen(pictures, "matched_formation_id", "commons_assertion_id", "match_status", STATUS_LADDER, SURVIVOR_FIELDS, "retrieved_at")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import datetime as dt
 import random
 
 from meridian.llm.components import components
-from meridian.llm.survivors import discover, survivors
+from meridian.llm.survivors import chosen, discover, survivors
 
 
 def brute(pairs):
@@ -46,11 +46,12 @@ def test_survivor_order_and_filling(spark):
         record("alone", "z", "best", "p", 1.0, 1), record("alone", "z", "best", "p", 1.0, 1), record("", "q", "best", "p", 1.0, 1), record(None, "q2", "best", "p", 1.0, 1), record("f1", None, "best", "p", 1.0, 1),
     ]
     df = spark.createDataFrame(rows, "fid string, key string, status string, place string, lat double, at timestamp, g string, source string")
-    got = {r.fid: r for r in survivors(df, "fid", "key", "status", ["best", "good"], FIELDS, "at").collect()}
+    got = {r.fid: r for r in survivors(df, "fid", "key", "status", ["best", "good"], FIELDS, "at", "source").collect()}
     assert set(got) == {"f1", "f2"}
     assert (got["f1"].key, got["f1"].place, got["f1"].lat, got["f1"].filled_fields) == ("c", "P", 2.5, ["lat", "place"])
     assert (got["f2"].key, got["f2"].place) == ("b", "y")
-    assert survivors(df.limit(0), "fid", "key", "status", ["best"], FIELDS, "at").count() == 0
+    assert survivors(df.limit(0), "fid", "key", "status", ["best"], FIELDS, "at", "source").count() == 0
+    assert {(r.fid, r.key) for r in chosen(df, "fid", "key", "status", ["best", "good"], FIELDS, "at").collect()} == {("f1", "c"), ("f2", "b")}
 
 
 def test_truth_discovery_trusts_who_is_right_elsewhere(spark):
