@@ -10,6 +10,7 @@ lies, and only its rarer words are shuffled to the dictionary of words.
 from __future__ import annotations
 
 import json
+import math
 import os
 from collections.abc import Callable
 from functools import lru_cache
@@ -23,6 +24,8 @@ from meridian.runtime import written
 TOKENIZERS = os.environ.get("MERIDIAN_TOKENIZERS", "/opt/tokenizers")
 #: Commonest words kept as a literal, the slots of its table (a bound on its size), and the texts they come from.
 HOT_WORDS, HOT_SLOTS, SAMPLE_TEXTS = 20000, 65536, 5000
+#: Texts whose rarer words one task folds.
+TASK_TEXTS = 5000
 
 # The pattern that cuts a text into words, with white space as Unicode has it. Letters and
 # digits come first: nothing else can match where they do, and most words are theirs.
@@ -140,7 +143,10 @@ def encode(rows: DataFrame, key: str, text: str, path: str | None = None) -> Dat
     """
     path = path or f"{TOKENIZERS}/byte_bpe_50k.json"
     docs = rows.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("rid", F.monotonically_increasing_id())
-    hot_words, hot_ids = _hot(rows.select(F.col(text).alias("t")).where("t <> ''").limit(SAMPLE_TEXTS), path)
+    n = rows.count()
+    # Texts from all over the table; a third more than wanted, since a sample's size varies.
+    some = rows.select(F.col(text).alias("t")).sample(min(1.0, 4 / 3 * SAMPLE_TEXTS / max(1, n)), seed=7)
+    hot_words, hot_ids = _hot(some.where("t <> ''").limit(SAMPLE_TEXTS), path)
     numbers = {w: i for i, w in enumerate(w for w in hot_words if w)}
     known, quick = F.split(F.lit("\x01".join(hot_words)), "\x01", -1), _literal([numbers.get(w, -1) for w in hot_words], "int")
     packed = _literal([i for w, i in zip(hot_words, hot_ids) if w] or [-1], "bigint")
@@ -157,8 +163,8 @@ def encode(rows: DataFrame, key: str, text: str, path: str | None = None) -> Dat
     coded = written(coded, "coded")
     codes = F.coalesce(F.col("small").cast("array<int>"), F.col("large")).alias("codes")
     misses = coded.select("rid", F.posexplode("miss").alias("i", "w"))
-    # Spread by word, so that the fold is not left to a few merged partitions.
-    spread = 4 * docs.sparkSession.sparkContext.defaultParallelism
+    # Spread by word, so that the fold is not left to a few merged partitions; more of them for more texts.
+    spread = max(4 * docs.sparkSession.sparkContext.defaultParallelism, math.ceil(n / TASK_TEXTS))
     dictionary = written(misses.select("w").distinct().repartition(spread, "w").withColumn("ids", encode_word(F.col("w"), path)), "dictionary")
     rare = misses.join(dictionary, "w").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("rare"))
     joined = coded.where(F.size("miss") > 0).select("k", "rid", "small", "large").join(rare, "rid").select("k", codes, "rare")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -65,8 +66,8 @@ def best_fit(n: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def pack(items: DataFrame, key: str, size: str, capacity: int, rounds: int = 4, partition_items: int = PARTITION_ITEMS) -> DataFrame:
-    """Every item's container: key, piece, start, size, container_id, container_items, container_size.
+def pack(items: DataFrame, key: str, size: str, capacity: int, partition_items: int = PARTITION_ITEMS) -> DataFrame:
+    """Every item's container: key, piece, start, size, container_id, container_items, container_size, certified.
 
     An item is cut only if it alone exceeds ``capacity``: into pieces of just the capacity, each a
     full container, and a rest that is packed like any item; ``start`` is the piece's offset.
@@ -75,8 +76,10 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, rounds: int = 4,
 
     Items are spread by hash into partitions of a bounded number of items, so equal sizes or keys
     never gather. Each partition packs best-fit decreasing and certifies its number of containers
-    by ``lower_bound``. Partitions above their bound exchange their items under another hash and
-    are packed again, until all are certified, the gap stops shrinking, or ``rounds`` are over.
+    by ``lower_bound``. Partitions above their bound exchange their items under another hash (a
+    single one with a certified one) and are packed again, as long as their gaps shrink. The
+    containers of partitions that reach their bound, and full ones, are ``certified``: no packing
+    of the partition's items takes fewer.
     """
     kind = items.schema[key].dataType.simpleString()
     n = F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0))
@@ -86,31 +89,38 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, rounds: int = 4,
     pieces = written(pieces.withColumn("seed", F.monotonically_increasing_id()), "pieces")
     full = pieces.where(F.col("size") == capacity)
     shape = f"k {kind}, piece long, start long, size int, seed long, box long, part long, boxes long, bound long"
-    done = full.select("k", "piece", "start", "size", "seed", F.concat(F.lit("f"), F.format_string("%x", F.xxhash64("seed")), F.lit("-"), F.col("seed")).alias("container_id"))
-    rest, gap_before = pieces.where(F.col("size") < capacity), math.inf
+    done = full.select("k", "piece", "start", "size", "seed", F.concat(F.lit("f"), F.format_string("%x", F.xxhash64("seed")), F.lit("-"), F.col("seed")).alias("container_id"), F.lit(True).alias("certified"))
+    columns = ["k", "piece", "start", "size", "seed", "container_id", "certified"]
+    rest, gap_before, kept_open = pieces.where(F.col("size") < capacity), math.inf, None
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         n = pdf["size"].to_numpy()
         box = best_fit(n, capacity)
         return pdf.assign(box=box, boxes=int(box.max()) + 1, bound=lower_bound(n, capacity))
 
-    for turn in range(rounds):
+    for turn in itertools.count():
         total = rest.count()
         if not total:
             break
         parts = math.ceil(total / partition_items)
         placed = rest.withColumn("part", F.pmod(F.xxhash64("seed", F.lit(turn)), F.lit(parts)))
         placed = written(placed.groupBy("part").applyInPandas(fill, shape), "packed")
-        named = placed.withColumn("container_id", F.format_string("r%d-%d-%d", F.lit(turn), "part", "box"))
-        gap = placed.select("part", "boxes", "bound").distinct().agg(F.coalesce(F.sum(F.col("boxes") - F.col("bound")), F.lit(0)), F.count_if(F.col("boxes") > F.col("bound"))).first()
-        last = gap[0] == 0 or gap[0] >= gap_before or gap[1] < 2 or turn == rounds - 1
-        keep = named if last else named.where(F.col("boxes") == F.col("bound"))
-        done = done.unionByName(keep.select("k", "piece", "start", "size", "seed", "container_id"))
-        if last:
+        gaps = placed.groupBy("part").agg(F.first(F.col("boxes") - F.col("bound")).alias("gap"))
+        gap, open_, certain = gaps.agg(F.coalesce(F.sum("gap"), F.lit(0)), F.count_if(F.col("gap") > 0), F.min(F.when(F.col("gap") == 0, F.col("part")))).first()
+        if gap > gap_before:  # the packing before was better
+            done = done.unionByName(kept_open)
             break
-        gap_before, rest = gap[0], placed.where(F.col("boxes") > F.col("bound")).select("k", "piece", "start", "size", "seed")
+        named = placed.withColumns({"container_id": F.format_string("r%d-%d-%d", F.lit(turn), "part", "box"), "certified": F.col("boxes") == F.col("bound")})
+        if gap in (0, gap_before) or parts == 1:
+            done = done.unionByName(named.select(columns))
+            break
+        again = F.col("boxes") > F.col("bound")
+        if open_ == 1 and certain is not None:
+            again |= F.col("part") == certain
+        done = done.unionByName(named.where(~again).select(columns))
+        gap_before, kept_open, rest = gap, named.where(again).select(columns), placed.where(again).select("k", "piece", "start", "size", "seed")
     load = done.groupBy("container_id").agg(F.count("*").alias("container_items"), F.sum("size").alias("container_size"))
-    return done.join(load, "container_id").select(F.col("k").alias(key), "piece", "start", "size", "container_id", "container_items", "container_size")
+    return done.join(load, "container_id").select(F.col("k").alias(key), "piece", "start", "size", "container_id", "container_items", "container_size", "certified")
 
 
 def pack_documents(docs: DataFrame, key: str, text: str, capacity: int) -> DataFrame:

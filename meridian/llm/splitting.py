@@ -13,19 +13,53 @@ from pyspark.sql import functions as F
 
 from meridian.llm.tokens import RANKS, load
 
-# Where a node of each level may be cut into its children; a child keeps the break at its end.
-_HEADING = re.compile(r"(?m)^(?=#{1,6}\s|={3,}|-{3,}\s*$|<h[1-6]\b|member_\d+ wrote on )")
-_PARAGRAPH = re.compile(r"(?:\r\n?|\n)(?:[^\S\r\n]*(?:\r\n?|\n))+")
-_ITEM = re.compile(r"(?m)(?:\r\n?|\n)(?=\s*(?:[-*+•–]|\d{1,3}[.)]|\[\w+\]|<li\b|>)\s)")
+# The structure of a text as cuts between its parts, from the strongest; a part keeps the break at its end.
+_BREAK = r"(?:\r\n?|\n)"
+_RULE = re.compile(rf"(?m)^(?=[=~]{{3,}}[^\S\r\n]*$|(?:-[^\S\r\n]?){{3,}}$|(?:\*[^\S\r\n]?){{3,}}$|<hr\b)")
+_HEADING = re.compile(rf"(?m)^(?=(#{{1,6}})\s|<h([1-6])\b|\S[^\r\n]*{_BREAK}(?:(={{3,}})|(-{{3,}}))[^\S\r\n]*$)")
+_TAG = re.compile(r"(?i)<(/?)(section|article|header|footer|main|aside|nav|div|blockquote|table|thead|tbody|tr|ul|ol|dl|li|dt|dd|p|pre|figure)\b[^>]*>")
+_PARAGRAPH = re.compile(rf"{_BREAK}(?:[^\S\r\n]*{_BREAK})+")
+_ITEM = re.compile(rf"{_BREAK}(?=([^\S\r\n]*)(?:[-*+•–]|\d{{1,3}}[.)]|\[\w+\]|>)\s)")
 _LINE = re.compile(r"\r\n?|\n|\x0b|\x0c|\x85|\u2028|\u2029")
 _SENTENCE = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s)|[。！？]+[」』）]*")
 _WORD = re.compile(r"\S(?=\s)")
-_LEVELS = (_HEADING, _PARAGRAPH, _ITEM, _LINE, _SENTENCE, _WORD)
+#: Ranks of the levels, and the depths of headings, markup and lists that are told apart; deeper ones lie with the deepest.
+HEADINGS, MARKUP, ITEMS = 6, 8, 4
+_RANKS = {"rule": 0, "heading": 1, "markup": 1 + HEADINGS, "paragraph": 1 + HEADINGS + MARKUP, "item": 2 + HEADINGS + MARKUP, "line": 2 + HEADINGS + MARKUP + ITEMS, "sentence": 3 + HEADINGS + MARKUP + ITEMS, "word": 4 + HEADINGS + MARKUP + ITEMS}
+_LEVELS = _RANKS["word"] + 1
 
 
-def _children(text: str, a: int, b: int, level: int) -> list[tuple[int, int]]:
-    cuts = [m.end() for m in _LEVELS[level].finditer(text, a, b) if a < m.end() < b]
-    return list(zip([a, *cuts], [*cuts, b]))
+def outline(text: str) -> list[list[int]]:
+    """For each rank the offsets, in order, at which nodes of it may be cut into their children.
+
+    Headings rank by their depth (``#`` to ``######``, ``<h1>`` to ``<h6>``, underlined ones as the
+    first two), block tags by how many are open around them, list items by their indentation
+    against the list's other items; paragraphs lie between, and lines, sentences and words below.
+    """
+    cuts: list[list[int]] = [[] for _ in range(_LEVELS)]
+    cuts[0] = [m.start() for m in _RULE.finditer(text)]
+    for m in _HEADING.finditer(text):
+        depth = len(m[1]) if m[1] else int(m[2]) if m[2] else 1 if m[3] else 2
+        cuts[_RANKS["heading"] + depth - 1].append(m.start())
+    depth = 0
+    for m in _TAG.finditer(text):
+        depth = max(0, depth - 1) if m[1] else depth
+        cuts[_RANKS["markup"] + min(depth, MARKUP - 1)].append(m.end() if m[1] else m.start())
+        depth += not m[1] and m[2].lower() not in ("p", "li", "dt", "dd", "tr")  # whose end may be left out
+    cuts[_RANKS["paragraph"]] = [m.end() for m in _PARAGRAPH.finditer(text)]
+    indents: list[int] = []
+    for m in _ITEM.finditer(text):
+        width = len(m[1].expandtabs(4))
+        while indents and indents[-1] > width:
+            indents.pop()
+        if not indents or indents[-1] < width:
+            indents.append(width)
+        cuts[_RANKS["item"] + min(len(indents), ITEMS) - 1].append(m.end())
+    for name, pattern in (("line", _LINE), ("sentence", _SENTENCE), ("word", _WORD)):
+        cuts[_RANKS[name]] = [m.end() for m in pattern.finditer(text)]
+    for own in cuts[_RANKS["markup"] : _RANKS["paragraph"]]:
+        own.sort()
+    return cuts
 
 
 class Ruler:
@@ -36,10 +70,12 @@ class Ruler:
         ids = self.encoding.encode_to_numpy(text)
         self.total = len(ids)
         self.starts: list[int] = []
+        self.cuts: list[list[int]] = []
         self.ids = ids
 
     def place(self, lengths: np.ndarray) -> None:
-        """Finds the character at which each token starts, from the tokens' lengths in bytes."""
+        """Finds the text's structure, and the character at which each token starts from the tokens' lengths in bytes."""
+        self.cuts = outline(self.text)
         ends = np.cumsum(lengths[self.ids])
         raw = np.frombuffer(self.text.encode(), np.uint8)
         self.starts = (np.cumsum((raw & 0xC0) != 0x80) - 1)[np.concatenate([[0], ends[:-1]])].tolist()
@@ -48,6 +84,11 @@ class Ruler:
         """Tokens of the whole text that start in a range: near the range's own where it is cut between words."""
         return bisect_left(self.starts, b) - bisect_left(self.starts, a)
 
+    def children(self, a: int, b: int, level: int) -> list[tuple[int, int]]:
+        own = self.cuts[level]
+        cuts = own[bisect_right(own, a) : bisect_left(own, b)]
+        return list(zip([a, *cuts], [*cuts, b]))
+
     def exact(self, a: int, b: int) -> int:
         return len(self.encoding.encode_to_numpy(self.text[a:b]))
 
@@ -56,7 +97,7 @@ def _leaves(ruler: Ruler, a: int, b: int, level: int, limit: int) -> list[tuple[
     """Ranges of about ``limit`` tokens at most that tile [a, b): siblings merged, large nodes opened."""
     if ruler.rough(a, b) <= limit:
         return [(a, b)]
-    if level == len(_LEVELS):  # one unbroken run: cut at tokens' starts
+    if level == _LEVELS:  # one unbroken run: cut at tokens' starts
         out = []
         while a < b:
             k = bisect_left(ruler.starts, a) + limit
@@ -66,7 +107,7 @@ def _leaves(ruler: Ruler, a: int, b: int, level: int, limit: int) -> list[tuple[
         return out
     out = []
     open_a = None  # start of the group of whole siblings that is being merged
-    for x, y in _children(ruler.text, a, b, level):
+    for x, y in ruler.children(a, b, level):
         if open_a is not None and ruler.rough(open_a, y) <= limit:
             out[-1] = (open_a, y)
             continue
@@ -126,8 +167,9 @@ def split_text(text: str, limit: int, overlap: int, path: str, lengths: np.ndarr
 def split_documents(docs: DataFrame, key: str, text: str, limit: int = 512, overlap: int = 64, path: str = RANKS) -> DataFrame:
     """Ordered pieces of every text of more than ``limit`` tokens: key, piece, start, end, tokens, text.
 
-    Cut at headings, paragraphs, list items, lines, sentences or words, whichever keeps larger
-    subtrees whole; inside a word only if it exceeds the limit alone. Consecutive pieces share at
+    A text is a tree of headings by depth, blocks of markup as they nest, paragraphs, items of lists
+    as they are indented, lines, sentences and words; it is cut where that keeps larger subtrees
+    whole; inside a word only if it exceeds the limit alone. Consecutive pieces share at
     most ``overlap`` tokens. Null, empty and short texts give no rows; repeated rows give their
     pieces again; other columns are ignored. The work is one text at a time with no shuffle.
     """

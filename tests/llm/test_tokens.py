@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meridian.llm import bpe
 from meridian.llm.packing import best_fit, lower_bound, pack, pack_documents
-from meridian.llm.splitting import split_documents
+from meridian.llm.splitting import HEADINGS, outline, split_documents, _RANKS
 from meridian.llm.tokens import load, sizes
 
 import numpy as np
@@ -71,6 +71,20 @@ def test_packing_keeps_everything_and_cuts_only_what_exceeds(spark):
     assert pack(df.limit(0), "id", "n", 100).count() == 0
 
 
+def test_partitions_with_gaps_exchange_items(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i, rng.randrange(20, 60)) for i in range(900)], "id long, n int")
+    for size in (60, 450, 2000):
+        rows = pack(df, "id", "n", 100, partition_items=size).collect()
+        assert {r.id for r in rows} == set(range(900)) and len(rows) == 900
+        boxes = {}
+        for r in rows:
+            boxes.setdefault(r.container_id, []).append(r)
+        assert all(sum(r["size"] for r in b) <= 100 and len({r.certified for r in b}) == 1 for b in boxes.values())
+    exact = pack(spark.createDataFrame([(i, 50) for i in range(100)], "id long, n int"), "id", "n", 100, partition_items=20).collect()
+    assert len({r.container_id for r in exact}) <= 55 and any(r.certified for r in exact)
+
+
 def test_documents_are_packed_by_their_tokens(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     rows = pack_documents(df, "doc_id", "text", 64).collect()
@@ -108,6 +122,22 @@ def test_pieces_tile_within_limits(spark):
     assert split_documents(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_an_outline_has_depth():
+    text = "# One\n\nintro\n\n## Two\n\n- a\n  - b\n    - c\n- d\n\nUnder\n-----\ntext\n<div><ul><li>x<li>y</ul></div>\n"
+    cuts = outline(text)
+    at = lambda name, depth=0: [text[i:].split("\n")[0] for i in cuts[_RANKS[name] + depth]]
+    assert at("heading", 0) == ["# One"] and at("heading", 1) == ["## Two", "Under"] and not any(cuts[_RANKS["heading"] + d] for d in range(2, HEADINGS))
+    assert [at("item", d) for d in range(3)] == [["- a", "- d"], ["  - b"], ["    - c"]]
+    assert at("markup", 0) == ["<div><ul><li>x<li>y</ul></div>", ""] and at("markup", 1) == ["<ul><li>x<li>y</ul></div>", "</div>"] and at("markup", 2) == ["<li>x<li>y</ul></div>", "<li>y</ul></div>"]
+
+
+def test_deep_subtrees_are_kept_whole_before_shallow_ones_are_opened(spark):
+    part = lambda n: "".join(f"Sentence {i} of the part. " for i in range(n))
+    text = "".join(f"# Chapter {c}\n\n" + "".join(f"## Section {c}.{k}\n\n{part(25)}\n\n" for k in range(4)) for c in range(3))
+    rows = split_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id", "text", 512, 0).orderBy("piece").collect()
+    assert all(r.text.startswith("#") for r in rows) and sum(r.text.startswith("# Chapter") for r in rows) == 3
+
+
 @pytest.mark.parametrize("text", [t for t in TEXTS if t])
 def test_words_make_up_the_text(spark, text):
     assert "".join(spark.createDataFrame([(text,)], "t string").select(bpe.words_of(F.col("t")).alias("w")).first().w) == text
