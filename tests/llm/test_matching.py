@@ -134,6 +134,24 @@ def test_garbled_texts_are_found_and_restored(spark):
     assert mojibake.repair(df.limit(0), "key", "text").count() == 0
 
 
+def test_what_the_jvm_sifts_out_has_no_reading(spark):
+    texts = CLEAN + [bad for bad, _ in garbled()] + ORDINARY + list(ALIKE) + ["Zelpamo±d", "M\ufffdt", "a\x85b", "naïve é", "ß" * 5000]
+    rows = spark.createDataFrame([(t,) for t in texts if t], "t string").withColumn("s", mojibake.suspicious(F.col("t"))).collect()
+    assert not [r.t for r in rows if not r.s and (mojibake.readings(r.t) or "\ufffd" in r.t)]
+    assert sum(r.s for r in rows) < len(rows)
+
+
+def test_every_reading_is_followed(monkeypatch):
+    bad = "é" * 9
+    for read in ("latin-1", "cp437", "mac_roman"):
+        bad = bad.encode().decode(read)
+    scale = mojibake.Scale({}, 2.0)
+    assert mojibake.choose(bad, scale) == ("é" * 9, 3)
+    tree = {"the garbled text": {f"reading {i:02d}": 1 for i in range(40)}, "reading 39": {"it": 1}}
+    monkeypatch.setattr(mojibake, "readings", lambda t: tree.get(t, {}))
+    assert mojibake.choose("the garbled text", scale) == ("it", 2)
+
+
 def test_lower_cased_afterwards():
     assert mojibake.from_utf8("vasfã¸bã¥ch, 45â°", "cp1252") == "vasføbåch, 45°"
     assert mojibake.from_utf8("SÃO MARTINHO “é” naïve", "cp1252") == "SÃO MARTINHO “é” naïve"
