@@ -6,6 +6,7 @@ import difflib
 import html
 import re
 import unicodedata
+from urllib.parse import unquote_to_bytes
 
 import pandas as pd
 from pyspark.sql import Column
@@ -79,6 +80,26 @@ def place_similarity(a: Column, b: Column) -> Column:
     return F.greatest(jaccard(tokens(a), tokens(b)), matching_ratio(F.coalesce(normal(a), F.lit("")), F.coalesce(normal(b), F.lit(""))))
 
 
+@F.pandas_udf(T.StringType())
+def _unescaped(x: pd.Series) -> pd.Series:
+    def one(v: str | None) -> str | None:
+        if v is None:
+            return None
+        raw = unquote_to_bytes(v)
+        try:
+            plain = raw.decode()
+        except UnicodeDecodeError:
+            plain = raw.decode("cp1252", "replace")
+        return unicodedata.normalize("NFKC", plain.replace("\xa0", " ").replace("\ufffd", " "))
+
+    return x.map(one)
+
+
+def unescaped(path: Column) -> Column:
+    """A path with its percent escapes resolved, as UTF-8 or else as the western code page; plain ASCII stays in the JVM."""
+    return F.when(path.rlike(r"^[\x00-\x24\x26-\x7f]*$"), path).otherwise(_unescaped(path))
+
+
 def canonical_url(u: Column) -> Column:
     """Scheme and host in lower case, fragment dropped; null where it is no http address."""
     scheme, rest = F.lower(F.regexp_extract(u, r"^(?i)(https?)://", 1)), F.regexp_extract(u, r"(?i)^https?://([^#]*)", 1)
@@ -87,8 +108,16 @@ def canonical_url(u: Column) -> Column:
 
 
 def url_key(u: Column) -> Column:
-    """Host without www and path without its last slash, in lower case: equal for what is one page."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(u, r"(?i)^https?://([^?#]*)", 1)), r"^www\.", ""), "/$", "")
+    """Host without www, path and query of an address: equal for what is one page; null where it is no http address.
+
+    The path's escapes are resolved, as UTF-8 or else as the western code page, its blanks of any
+    kind are single ones, its forms compatible ones; all in lower case. An empty query counts as none.
+    """
+    host = F.regexp_replace(F.lower(F.regexp_extract(u, r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"^www\.", "")
+    path, query = F.regexp_extract(u, r"(?i)^https?://[^/?#]*([^?#]*)", 1), F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1)
+    path = F.lower(F.regexp_replace(unescaped(path), r"\s+", " "))
+    query = F.lower(F.trim(F.regexp_replace(query, r"\s+", " ")))
+    return F.when(u.rlike("(?i)^https?://"), F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
 def directory(u: Column) -> Column:

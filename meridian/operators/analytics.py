@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridian.runtime import written
+
 
 def marginals(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(field, value, n): counts of the values of each column, in one pass; null is a value."""
@@ -52,31 +54,60 @@ def recall_at(ranked: DataFrame, hit: Column, query: str, ks: Sequence[int]) ->
 
 
 def segment_clusters(rows: DataFrame, by: Sequence[str], angle: str, weight: str, near: float = 4.0, apart: float = 10.0) -> DataFrame:
-    """Greedy axes of a group: (by, cluster, axis, support), strongest first.
-
-    Each angle is a seed whose support is the weight within ``near`` degrees; seeds are kept from
-    the strongest, then the smallest angle, if more than ``apart`` from all kept. Weights of equal
-    angles, rounded to a tenth of a degree, are summed before a group is gathered: a group is
-    1,800 numbers at most, however many rows it has.
+    """Greedy axes of a group of weighted angles: (by, cluster, axis, support, members, deviation, longest).
+
+    Every angle is a seed; its members are the angles within ``near`` degrees of it, modulo 180. The
+    seed's axis is the members' weighted mean axis, its support their weight, its deviation theirs
+    about that axis (90 where they weigh nothing), and longest their greatest weight. Seeds are kept from the strongest support, then
+    the smallest axis, if their axis is more than ``apart`` from all kept ones. Null angles and
+    weights count nothing; an empty table gives no rows. Rows of one exact angle are combined before
+    the shuffle: a group's task holds its different angles and nothing that grows with their rows.
     """
     kinds = rows.select(*by).schema.simpleString()[len("struct<") : -1].replace(":", " ")
-    bins = rows.where(F.col(angle).isNotNull()).groupBy(*by, F.pmod(F.round(F.col(angle) * 10), F.lit(1800.0)).cast("int").alias("bin")).agg(F.sum(weight).alias("w"))
+    own = F.pmod(F.col(angle).cast("double"), F.lit(180.0)).alias("a")
+    angles = rows.where(F.col(angle).isNotNull() & F.col(weight).isNotNull()).groupBy(*by, own).agg(F.sum(F.col(weight).cast("double")).alias("w"), F.count("*").alias("n"), F.max(F.col(weight).cast("double")).alias("top"))
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, w = pdf["bin"].to_numpy() / 10, pdf["w"].to_numpy(float)
-        gap = np.abs((a[:, None] - a[None, :] + 90) % 180 - 90)
-        support = np.round((w[None, :] * (gap <= near + 1e-9)).sum(1), 9)
+        pdf = pdf.sort_values("a")
+        a, w, n, top = (pdf[c].to_numpy(float) for c in ("a", "w", "n", "top"))
+        round_ = np.concatenate([a - 180, a, a + 180])
+        wide = lambda v: np.concatenate([[0.0], np.cumsum(np.tile(v, 3))])
+        low, high = np.searchsorted(round_, a - near - 1e-9), np.searchsorted(round_, a + near + 1e-9, "right")
+        within = lambda v: wide(v)[high] - wide(v)[low]
+        support, members = np.round(within(w), 9), within(n).astype(int)
+        axis = np.degrees(np.arctan2(within(w * np.sin(np.radians(2 * a))), within(w * np.cos(np.radians(2 * a))))) / 2 % 180
+        centre = a + (axis - a + 90) % 180 - 90  # the axis beside its seed, where no angle wraps
+        x = np.concatenate([[0.0], np.cumsum(round_ * np.tile(w, 3))])
+        xx = np.concatenate([[0.0], np.cumsum(round_**2 * np.tile(w, 3))])
+        spread = (xx[high] - xx[low]) - 2 * centre * (x[high] - x[low]) + centre**2 * within(w)
+        deviation = np.where(support > 0, np.sqrt(np.maximum(spread, 0) / np.where(support > 0, support, 1)), 90.0)
+        longest = np.maximum.reduceat(np.append(np.tile(top, 3), -np.inf), np.stack([low, high], 1).ravel())[::2]
+        axis = np.round(axis, 9) % 180
         kept: list[int] = []
-        for i in sorted(range(len(a)), key=lambda i: (-support[i], a[i])):
-            if all(gap[i, j] > apart for j in kept):
+        for i in np.lexsort((axis, -support)):
+            if all(abs((axis[i] - axis[j] + 90) % 180 - 90) > apart for j in kept):
                 kept.append(i)
         head = {c: [pdf[c].iloc[0]] * len(kept) for c in by}
-        return pd.DataFrame(head | {"cluster": range(1, len(kept) + 1), "axis": a[kept], "support": support[kept]})
+        return pd.DataFrame(head | {"cluster": range(1, len(kept) + 1), "axis": axis[kept], "support": support[kept], "members": members[kept], "deviation": deviation[kept], "longest": longest[kept]})
 
-    return bins.groupBy(*by).applyInPandas(greedy, f"{kinds}, cluster int, axis double, support double")
+    return angles.groupBy(*by).applyInPandas(greedy, f"{kinds}, cluster int, axis double, support double, members long, deviation double, longest double")
 
 
 def carried(rows: DataFrame, by: Sequence[str], order: Sequence[Column], value: Column) -> DataFrame:
     """Adds ``carried``: the last present value up to a row, in its group's order."""
     frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("carried", F.last(value, ignorenulls=True).over(frame))
+
+
+def ranked(rows: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """Adds the place of each row, 1 to N, in one total order of the whole table; ``order`` should end in a key.
+
+    Rows are spread by ranges of the order and written once; a range's first place is the rows of the
+    ranges before it. So no task holds more than a range, however many rows there are.
+    """
+    ranges = written(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = {r["__range"]: r["count"] for r in ranges.groupBy("__range").count().collect()}
+    before = [sum(n for p, n in sizes.items() if p < i) for i in range(max(sizes, default=0) + 1)]
+    at = Window.partitionBy("__range").orderBy(*order)
+    offset = F.get(F.array(*map(F.lit, before)).cast("array<bigint>"), F.col("__range"))
+    return ranges.withColumn(name, F.row_number().over(at) + offset).drop("__range")

@@ -152,9 +152,7 @@ def work_queue_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formations in one total order of evidence: sources, then position's certainty, then id."""
     rows = resolve.keep_first(table(spark, sf_dir, "formations"), ["formation_id"], F.col("date_iso"))
     score = (F.coalesce("source_count", F.lit(0)) * 10 + F.when(F.col("latitude").isNotNull(), 5).otherwise(0)).alias("score")
-    scored = rows.select("formation_id", "country_code", score)
-    at = Window.partitionBy("country_code").orderBy(F.desc("score"), "formation_id")
-    return scored.withColumn("rank", F.row_number().over(at))
+    return analytics.ranked(rows.select("formation_id", "country_code", score), F.desc("score"), F.col("formation_id"))
 
 
 def marginal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,7 +375,7 @@ WITH s AS (SELECT source_name, crawl_run_id, min(retrieved_at)::date lo, max(ret
 SELECT a.source_name, a.crawl_run_id, b.crawl_run_id AS other_run FROM s a JOIN s b ON a.source_name = b.source_name AND a.crawl_run_id < b.crawl_run_id AND a.lo <= b.hi AND b.lo <= a.hi""",
     "work_queue_rank": """
 WITH f AS (SELECT DISTINCT formation_id, country_code, coalesce(source_count, 0) * 10 + CASE WHEN latitude IS NOT NULL THEN 5 ELSE 0 END AS score FROM formations)
-SELECT *, row_number() OVER (PARTITION BY country_code ORDER BY score DESC, formation_id) AS rank FROM f""",
+SELECT *, row_number() OVER (ORDER BY score DESC, formation_id) AS rank FROM f""",
     "marginal_counts": " UNION ALL ".join(f"SELECT '{c}' AS field, cast({c} AS varchar) AS value, count(*) AS n FROM formations GROUP BY {c}" for c in ("country_code", "geocode_method", "orientation_status", "classification")),
     "grouping_sets": "SELECT c AS country_code, m AS method, count(*) AS n, grouping(c, m) AS level FROM (SELECT coalesce(country_code, '-') c, coalesce(geocode_method, '-') m FROM formations) GROUP BY CUBE (c, m)",
     "summary_counts": """SELECT count(formation_id) AS rows_with_id, count(DISTINCT formation_id) AS formations, count(*) FILTER (WHERE country_code = 'US') AS in_us, count(latitude) AS placed, min(date_iso) AS first_date, max(date_iso) AS last_date, sum(source_count) AS sources FROM formations""",

@@ -198,7 +198,7 @@ SELECT formation_id, round(degrees(g), 6) AS to_lat, round((degrees(l + atan2(si
     "mercator_roundtrip": f"""SELECT formation_id, round(radians(longitude) * 6378137, 3) AS x, round(ln(tan(pi() / 4 + radians(greatest(-85.0511287798066, least(85.0511287798066, latitude))) / 2)) * 6378137, 3) AS y, round(greatest(-85.0511287798066, least(85.0511287798066, latitude)), 6) AS lat, round(longitude, 6) AS lon FROM {_PLACED}""",
     "country_envelope": f"SELECT country_code, count(*) AS placed, count(*) FILTER (WHERE longitude BETWEEN west AND east AND latitude BETWEEN south AND north) AS inside FROM {_PLACED} JOIN {_BOXES} ON code = country_code GROUP BY 1",
     "region_assignment": f"SELECT DISTINCT legacy_candidate_id, code AS region FROM (SELECT DISTINCT legacy_candidate_id, latitude, longitude FROM legacy_kml_candidate_queue WHERE NOT isnan(latitude) AND NOT isnan(longitude)) JOIN {_BOXES} ON longitude BETWEEN west AND east AND latitude BETWEEN south AND north",
-    "corridor_join": f"""WITH p AS (SELECT * FROM {_PLACED}), r AS (SELECT formation_id AS ray_id, latitude rlat, longitude rlon, (('0x' || substr(formation_id, 4, 4))::int % 360)::double az FROM p WHERE substr(formation_id, 4, 1) IN ('0', '1')),
+    "corridor_join": f"""WITH p AS (SELECT * FROM {_PLACED}), r AS (SELECT formation_id AS ray_id, latitude rlat, longitude rlon, (('0x' || substr(formation_id, 4, 4))::int % 360)::double az FROM p),
 j AS (SELECT ray_id, formation_id AS site_id, {_KM("rlat", "rlon", "latitude", "longitude")} AS d, radians({_BEARING("rlat", "rlon", "latitude", "longitude")}) - radians(az) AS t FROM r JOIN p ON formation_id <> ray_id),
 c AS (SELECT ray_id, site_id, d, 6371.0088 * atan2(sin(d / 6371.0088) * cos(t), cos(d / 6371.0088)) al, abs(6371.0088 * asin(greatest(-1.0, least(1.0, sin(d / 6371.0088) * sin(t))))) cr FROM j)
 SELECT ray_id, site_id, round(d, 4) AS distance_km, round(al, 4) AS along_km, round(cr, 4) AS cross_km FROM c WHERE d >= 1 AND al BETWEEN 0 AND 300 AND cr <= 10""",
@@ -216,7 +216,8 @@ x AS (SELECT *, unnest(generate_series(0, ceil(greatest(w - t, 0) / 384.0)::bigi
 SELECT p_partkey, scale::double AS scale, col::int AS col, row::int AS row, least(col * 384, greatest(w - t, 0))::int AS x0, least(row * 384, greatest(h - t, 0))::int AS y0 FROM y""",
     "marker_groups": "SELECT latitude, longitude, count(*) AS marks, min(legacy_candidate_id) AS first_id FROM (SELECT DISTINCT legacy_candidate_id, floor(latitude * 1e7 + 0.5) / 1e7 latitude, floor(longitude * 1e7 + 0.5) / 1e7 longitude FROM legacy_kml_candidate_queue WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND NOT isnan(latitude) AND NOT isnan(longitude)) GROUP BY 1, 2 HAVING count(*) > 1",
     "category_levels": """WITH RECURSIVE e AS (SELECT DISTINCT nullif(trim(lower(alias_formation_id)), '') a, nullif(trim(lower(canonical_formation_id)), '') b FROM formation_alias_reviews WHERE lower(trim(review_status)) = 'accepted'),
-w AS (SELECT DISTINCT a AS node, 0 AS level FROM e WHERE a LIKE 'cc\\_0%' ESCAPE '\\' UNION SELECT e.b, w.level + 1 FROM w JOIN e ON e.a = w.node WHERE e.b IS NOT NULL AND w.level < 3)
+l AS (SELECT DISTINCT b AS node, a AS by_ FROM e WHERE a <> b), k AS (SELECT DISTINCT node FROM l WHERE NOT EXISTS (SELECT 1 FROM l m WHERE m.node = l.by_ AND m.by_ = l.node) OR node > by_),
+w AS (SELECT DISTINCT a AS node, 0 AS level FROM e WHERE a IS NOT NULL AND a NOT IN (SELECT node FROM k) UNION SELECT e.b, w.level + 1 FROM w JOIN e ON e.a = w.node WHERE e.b IS NOT NULL AND w.level < 3)
 SELECT node, min(level) AS level FROM w GROUP BY node""",
     "mean_positions": f"""WITH m AS (SELECT country_code, avg(cos(radians(latitude)) * cos(radians(longitude))) x, avg(cos(radians(latitude)) * sin(radians(longitude))) y, avg(sin(radians(latitude))) z, min(latitude) AS south, max(latitude) AS north, count(*) AS n FROM {_PLACED} WHERE country_code <> '' GROUP BY 1)
 SELECT country_code, round(degrees(atan2(z, sqrt(x * x + y * y))), 5) AS latitude, round(degrees(atan2(y, x)), 5) AS longitude, south, north, n FROM m""",

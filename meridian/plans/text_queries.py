@@ -153,8 +153,8 @@ SQL = {
     "stable_ids": "SELECT doc_id, 'a_' || substr(sha1(coalesce(source, '') || '|' || coalesce(lang, '') || '|' || doc_id), 1, 14) AS a_id, 'img_' || substr(sha256(coalesce(source, '') || '|' || doc_id), 1, 20) AS img_id FROM documents",
     "text_normalise": "SELECT DISTINCT assertion_id, trim(regexp_replace(lower(place), '[^a-z0-9]+', ' ', 'g')) AS name FROM source_assertions",
     "token_overlap": f"WITH r AS (SELECT DISTINCT assertion_id, source_listing_text t, place, region FROM source_assertions), w AS (SELECT assertion_id, {_W("coalesce(t, '')")} a, {_W("concat_ws(' ', place, region)")} b FROM r) SELECT assertion_id, round(coalesce(len(list_intersect(a, b)) / nullif(least(len(a), len(b)), 0)::double, 0), 6) AS overlap FROM w",
-    "url_canonical": "SELECT DISTINCT url, url AS canonical, regexp_replace(regexp_replace(lower(regexp_extract(url, '^https?://([^?#]*)', 1)), '^www\\.', ''), '/$', '') AS key, regexp_replace(url, '/[^/]*$', '/') AS directory FROM iccra_report_links_full",
-    "url_registry": """SELECT regexp_replace(regexp_replace(lower(regexp_extract(url, '^https?://([^?#]*)', 1)), '^www\\.', ''), '/$', '') AS key, count(*) AS rows, count(DISTINCT url) AS urls, coalesce(string_agg(DISTINCT discovered_from, '; ' ORDER BY discovered_from) FILTER (WHERE discovered_from <> ''), '') AS pages, count(DISTINCT sha256) AS contents FROM iccra_report_links_full GROUP BY 1""",
+    "url_canonical": "SELECT DISTINCT url, url AS canonical, lower(regexp_replace(regexp_extract(lower(url), '^https?://(?:[^/?#@]*@)?([^/?#:]*)', 1), '^www\\.', '') || regexp_replace(url_decode(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)), '\\s+', ' ', 'g') || CASE WHEN regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) <> '' THEN '?' || trim(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1)) ELSE '' END) AS key, regexp_replace(url, '/[^/]*$', '/') AS directory FROM iccra_report_links_full",
+    "url_registry": """SELECT lower(regexp_replace(regexp_extract(lower(url), '^https?://(?:[^/?#@]*@)?([^/?#:]*)', 1), '^www\\.', '') || regexp_replace(url_decode(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)), '\\s+', ' ', 'g') || CASE WHEN regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) <> '' THEN '?' || trim(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1)) ELSE '' END) AS key, count(*) AS rows, count(DISTINCT url) AS urls, coalesce(string_agg(DISTINCT discovered_from, '; ' ORDER BY discovered_from) FILTER (WHERE discovered_from <> ''), '') AS pages, count(DISTINCT sha256) AS contents FROM iccra_report_links_full GROUP BY 1""",
     "document_links": """WITH l AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), 'https?://[^\\s<>"'']+'), lambda x: regexp_replace(x, '[.,;:!?)\\]]+$', '')) AS l FROM documents)
 SELECT doc_id, len(list_distinct(l))::int AS n, l[1] AS first_link FROM l WHERE len(l) > 0""",
     "evidence_snippets": """WITH f AS (SELECT doc_id, coalesce(regexp_matches(lower(text), 'azimuth|bearing|true north'), false) d, coalesce(regexp_matches(lower(text), 'axis|tramline'), false) l, coalesce(regexp_matches(lower(text), '-?\\d{1,3}\\.\\d{4,}'), false) c FROM documents)
@@ -164,7 +164,7 @@ SELECT CASE WHEN d AND c THEN 'high' WHEN d THEN 'medium' WHEN l THEN 'low' WHEN
 SELECT commons_assertion_id, strftime(lo, '%Y-%m-%d') AS low, strftime(CASE length(d) WHEN 4 THEN try_cast(d || '-12-31' AS date) WHEN 7 THEN last_day(lo) ELSE lo END, '%Y-%m-%d') AS high, CASE WHEN regexp_matches(d, '^\\d{4}-\\d{2}-\\d{2}$') THEN 'day' WHEN regexp_matches(d, '^\\d{4}-\\d{2}$') THEN 'month' WHEN regexp_matches(d, '^\\d{4}$') THEN 'year' ELSE 'unknown' END AS precision FROM l""",
     "temporal_relation": """WITH p AS (SELECT DISTINCT commons_assertion_id, date_iso d, matched_formation_id AS formation_id FROM commons_crop_circle_assertions), f AS (SELECT DISTINCT formation_id, date_iso fd FROM formations),
 j AS (SELECT fd::date a, try_cast(d || CASE length(d) WHEN 4 THEN '-01-01' WHEN 7 THEN '-01' ELSE '' END AS date) lo, d FROM p JOIN f USING (formation_id)), k AS (SELECT a, lo, CASE length(d) WHEN 4 THEN try_cast(d || '-12-31' AS date) WHEN 7 THEN last_day(lo) ELSE lo END hi FROM j)
-SELECT CASE WHEN lo > a THEN 'later' WHEN hi < a THEN 'earlier' WHEN lo IS NOT NULL THEN 'overlap_or_indeterminate' END AS relation, count(*) AS n FROM k GROUP BY 1""",
+SELECT CASE WHEN lo > a THEN 'later' WHEN hi < a THEN 'earlier' ELSE 'overlap_or_indeterminate' END AS relation, count(*) AS n FROM k GROUP BY 1""",
     "date_labels": "SELECT DISTINCT formation_id, date_iso AS told, substr(date_iso, 1, 4)::int AS year FROM formations",
     "json_extract": "SELECT event_type, count(k) AS n, sum(k) AS total, min(k) AS least, max(k) AS most FROM (SELECT event_type, try_cast(json_extract_string(props, '$.k') AS int) k FROM events) GROUP BY 1",
     "forbidden_keys": "SELECT key, count(*) AS n, key NOT IN ('ref', 'page') AS forbidden FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY 1",

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Members of archives are opened to this depth, size and ratio of expansion at most.
-MAX_DEPTH, MAX_BYTES, MAX_RATIO = 2, 64 * 1024 * 1024, 200
+MAX_DEPTH, MAX_BYTES, MAX_RATIO, MAX_TOTAL_BYTES = 2, 64 * 1024 * 1024, 200, 256 * 1024 * 1024
 
 
 def _there(spark: SparkSession, path: str) -> bool:
@@ -59,8 +59,13 @@ def write_geojson(df: DataFrame, path: str, *args, **kw) -> None:
     geojson(df, *args, **kw).select("feature").write.mode("overwrite").text(path)
 
 
-def members(raw: bytes, name: str, depth: int = 0) -> Iterator[tuple[str, bytes | None, str]]:
-    """(name, bytes, reason) of the KML documents of a file or archive; refused members have a reason."""
+def members(raw: bytes, name: str, depth: int = 0, left: list[int] | None = None) -> Iterator[tuple[str, bytes | None, str]]:
+    """(name, bytes, reason) of the KML documents of a file or archive; refused members have a reason.
+
+    Archives in archives are opened ``MAX_DEPTH`` deep. What all of them expand to together is bounded:
+    once ``MAX_TOTAL_BYTES`` are used up, further members are refused.
+    """
+    left = [MAX_TOTAL_BYTES] if left is None else left
     if not zipfile.is_zipfile(io.BytesIO(raw)):
         yield (name, raw, "ok") if name.lower().endswith(".kml") or b"<kml" in raw[:4096] else (name, None, "not_kml")
         return
@@ -73,18 +78,23 @@ def members(raw: bytes, name: str, depth: int = 0) -> Iterator[tuple[str, bytes
                 yield inner, None, "unsafe_path"
             elif info.file_size > MAX_BYTES or info.file_size > MAX_RATIO * max(1, info.compress_size):
                 yield inner, None, "too_large"
+            elif path.suffix.lower() in (".zip", ".kmz", ".kml") and info.file_size > left[0]:
+                yield inner, None, "total_too_large"
             elif path.suffix.lower() in (".zip", ".kmz"):
-                if depth + 1 >= MAX_DEPTH:
+                left[0] -= info.file_size
+                if depth + 1 > MAX_DEPTH:
                     yield inner, None, "too_deep"
                 else:
-                    yield from members(archive.read(info), inner, depth + 1)
+                    yield from members(archive.read(info), inner, depth + 1, left)
             elif path.suffix.lower() == ".kml":
+                left[0] -= info.file_size
                 yield inner, archive.read(info), "ok"
 
 
 def placemarks(raw: bytes) -> Iterator[tuple[str, str, float | None, float | None, float | None]]:
     """(folder, name, longitude, latitude, altitude) of the placemarks of a KML document."""
-    if b"<!DOCTYPE" in raw or b"<!ENTITY" in raw or "<!ENTITY".encode("utf-16-le") in raw:
+    narrow = raw.replace(b"\0", b"").upper()  # of any encoding that is ASCII between zero bytes
+    if b"<!DOCTYPE" in narrow or b"<!ENTITY" in narrow:
         raise ValueError("entities are not read")
     local = lambda e: e.tag.rpartition("}")[2]
 

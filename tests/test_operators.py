@@ -124,7 +124,7 @@ def test_aggregates(spark):
     r = analytics.confusion(said, F.col("t"), F.col("s")).first()
     assert (r.precision, r.recall, r.f1) == (0.8889, 0.6486, 0.75)
     axes = spark.createDataFrame([("g", 10.0, 5.0), ("g", 13.0, 1.0), ("g", 100.0, 2.0), ("g", None, 9.0)], "g string, a double, w double")
-    assert [(r.axis, r.support) for r in analytics.segment_clusters(axes, ["g"], "a", "w").orderBy("cluster").collect()] == [(10.0, 6.0), (100.0, 2.0)]
+    assert [(round(r.axis, 1), r.support, r.members, r.longest) for r in analytics.segment_clusters(axes, ["g"], "a", "w").orderBy("cluster").collect()] == [(10.5, 6.0, 2, 5.0), (100.0, 2.0, 1, 2.0)]
 
 
 def test_levels_and_audits(spark):
