@@ -27,6 +27,7 @@ _WORD = re.compile(r"\S(?=\s)")
 HEADINGS, MARKUP, ITEMS = 6, 8, 4
 _RANKS = {"rule": 0, "heading": 1, "markup": 1 + HEADINGS, "paragraph": 1 + HEADINGS + MARKUP, "item": 2 + HEADINGS + MARKUP, "line": 2 + HEADINGS + MARKUP + ITEMS, "sentence": 3 + HEADINGS + MARKUP + ITEMS, "word": 4 + HEADINGS + MARKUP + ITEMS}
 _LEVELS = _RANKS["word"] + 1
+_BELOW = (_LINE, _SENTENCE, _WORD)
 
 
 def outline(text: str) -> list[list[int]]:
@@ -34,15 +35,19 @@ def outline(text: str) -> list[list[int]]:
 
     Headings rank by their depth (``#`` to ``######``, ``<h1>`` to ``<h6>``, underlined ones as the
     first two), block tags by how many are open around them, list items by their indentation
-    against the list's other items; paragraphs lie between, and lines, sentences and words below.
+    against the list's other items; paragraphs lie between. What is below, lines, sentences and
+    words, is looked for only in nodes that are opened so far.
     """
-    cuts: list[list[int]] = [[] for _ in range(_LEVELS)]
-    cuts[0] = [m.start() for m in _RULE.finditer(text)]
-    for m in _HEADING.finditer(text):
-        depth = len(m[1]) if m[1] else int(m[2]) if m[2] else 1 if m[3] else 2
-        cuts[_RANKS["heading"] + depth - 1].append(m.start())
+    cuts: list[list[int]] = [[] for _ in range(_RANKS["line"])]
+    marked = "<" in text
+    if marked or "---" in text or "===" in text or "***" in text or "~~~" in text or "- -" in text or "* *" in text:
+        cuts[0] = [m.start() for m in _RULE.finditer(text)]
+    if marked or "#" in text or "---" in text or "===" in text:
+        for m in _HEADING.finditer(text):
+            depth = len(m[1]) if m[1] else int(m[2]) if m[2] else 1 if m[3] else 2
+            cuts[_RANKS["heading"] + depth - 1].append(m.start())
     depth = 0
-    for m in _TAG.finditer(text):
+    for m in _TAG.finditer(text) if marked else ():
         depth = max(0, depth - 1) if m[1] else depth
         cuts[_RANKS["markup"] + min(depth, MARKUP - 1)].append(m.end() if m[1] else m.start())
         depth += not m[1] and m[2].lower() not in ("p", "li", "dt", "dd", "tr")  # whose end may be left out
@@ -55,10 +60,6 @@ def outline(text: str) -> list[list[int]]:
         if not indents or indents[-1] < width:
             indents.append(width)
         cuts[_RANKS["item"] + min(len(indents), ITEMS) - 1].append(m.end())
-    for name, pattern in (("line", _LINE), ("sentence", _SENTENCE), ("word", _WORD)):
-        cuts[_RANKS[name]] = [m.end() for m in pattern.finditer(text)]
-    for own in cuts[_RANKS["markup"] : _RANKS["paragraph"]]:
-        own.sort()
     return cuts
 
 
@@ -85,8 +86,11 @@ class Ruler:
         return bisect_left(self.starts, b) - bisect_left(self.starts, a)
 
     def children(self, a: int, b: int, level: int) -> list[tuple[int, int]]:
-        own = self.cuts[level]
-        cuts = own[bisect_right(own, a) : bisect_left(own, b)]
+        if level < len(self.cuts):
+            own = self.cuts[level]
+            cuts = own[bisect_right(own, a) : bisect_left(own, b)]
+        else:
+            cuts = [m.end() for m in _BELOW[level - len(self.cuts)].finditer(self.text, a, b) if a < m.end() < b]
         return list(zip([a, *cuts], [*cuts, b]))
 
     def exact(self, a: int, b: int) -> int:
