@@ -23,7 +23,7 @@ from meridian.functions.geo import haversine_m
 from meridian.runtime import written
 
 #: The tree's cuts are fitted on at most this many sampled points; every point is indexed.
-SAMPLE_POINTS = 200_000
+SAMPLE_POINTS, SAMPLE_SUPPORT = 200_000, 16
 #: Points that a leaf is meant to hold.
 LEAF_POINTS = 4096
 #: Below this box size a node of the hierarchy in a leaf is tested point by point.
@@ -85,10 +85,17 @@ def triangles_of(polygons: DataFrame, key: str, ring: str) -> DataFrame:
 
 
 class Tree:
-    """Median cuts of a point sample: node k has children 2k+1 and 2k+2; leaves are numbered by node."""
+    """Median cuts of a point sample: node k has children 2k+1 and 2k+2; leaves are numbered by node.
+
+    The sample bounds how many cuts it supports, ``SAMPLE_SUPPORT`` points each. Where more leaves are wanted, each
+    is cut further into equal cells of the box that its sample fills, as many as are needed; what lies
+    outside the box belongs to the cells at its edge.
+    """
 
     def __init__(self, xy: np.ndarray, leaves: int) -> None:
-        self.depth = max(0, math.ceil(math.log2(max(1, leaves))))
+        fitted = max(1, min(leaves, len(xy) // SAMPLE_SUPPORT))
+        self.depth = max(0, math.ceil(math.log2(fitted)))
+        self.cells = math.ceil(math.sqrt(max(1, leaves) / 2**self.depth))  # along each side of a leaf
         size = 2**self.depth - 1
         self.axis, self.at = np.zeros(size, np.int8), np.zeros(size)
         parts = {0: xy}
@@ -99,13 +106,22 @@ class Tree:
             self.axis[k], self.at[k] = axis, at
             left = part[:, axis] < at
             parts[2 * k + 1], parts[2 * k + 2] = part[left], part[~left]
+        self.low, self.step = np.zeros((2**self.depth, 2)), np.ones((2**self.depth, 2))
+        for k, part in parts.items():
+            if len(part):
+                self.low[k - size], wide = part.min(0), np.ptp(part, axis=0)
+                self.step[k - size] = np.where(wide > 0, wide, 1.0) / self.cells
+
+    def _cell(self, node: np.ndarray, v: np.ndarray, axis: int) -> np.ndarray:
+        leaf = node - (2**self.depth - 1)
+        return np.clip(np.floor((v - self.low[leaf, axis]) / self.step[leaf, axis]), 0, self.cells - 1).astype(np.int64)
 
     def leaf_of(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         node = np.zeros(len(x), np.int64)
         for _ in range(self.depth):
             v = np.where(self.axis[node] == 0, x, y)
             node = 2 * node + 1 + (v >= self.at[node])
-        return node
+        return (node * self.cells + self._cell(node, y, 1)) * self.cells + self._cell(node, x, 0)
 
     def leaves_of(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of every leaf that the boxes meet, borders included."""
@@ -114,6 +130,11 @@ class Tree:
             axis, at = self.axis[node], self.at[node]
             left, right = lo[row, axis] <= at, hi[row, axis] >= at
             row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left] + 1, 2 * node[right] + 2])
+        for axis in (1, 0):
+            first, last = (self._cell(node // self.cells ** (1 - axis), side[row, axis], axis) for side in (lo, hi))
+            count = last - first + 1
+            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            row, node = np.repeat(row, count), np.repeat(node * self.cells + first, count) + at
         return row, node
 
 
@@ -167,7 +188,7 @@ def in_triangles(points: DataFrame, triangles: DataFrame, leaf_points: int = LEA
     share = min(1.0, SAMPLE_POINTS / max(1, total))
     sample = points.select("x", "y") if share == 1.0 else points.select("x", "y").sample(share * 0.9, seed=17)
     xy = sample.limit(SAMPLE_POINTS).toPandas().to_numpy(float).reshape(-1, 2)
-    tree = Tree(xy, min(len(xy) // 16, math.ceil(total / leaf_points)))  # a few numbers for each leaf, sent with the functions
+    tree = Tree(xy, math.ceil(total / leaf_points))  # a few numbers for each leaf, sent with the functions
     region_type = triangles.schema["region"].dataType.simpleString()
 
     def route_points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

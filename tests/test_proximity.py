@@ -6,7 +6,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from meridian.operators.proximity import ear_clip, pairs_within, regions_of
+from meridian.operators import proximity
+from meridian.operators.proximity import Tree, ear_clip, pairs_within, regions_of
 
 R = 6_371_000.0
 
@@ -72,3 +73,30 @@ def test_regions_share_borders_once_each_and_clashing_columns(spark):
     got = sorted((r.id, r.assigned_region, r.region) for r in regions_of(df, "x", "y", polygons, "name", "ring").collect())
     assert got == [(1, "square", "was"), (1, "square", "was"), (2, "right", "was"), (2, "square", "was"), (3, "L", "was"), (3, "right", "was"), (3, "square", "was"), (5, "L", "was")]
     assert regions_of(df.limit(0), "x", "y", polygons, "name", "ring").count() == 0
+
+
+@given(st.integers(0, 10_000), st.sampled_from([1, 7, 60, 900]))
+@settings(max_examples=25, deadline=None)
+def test_leaves_beyond_the_sample_hold_what_their_boxes_meet(seed, leaves):
+    rng = np.random.default_rng(seed)
+    tree = Tree(np.round(rng.normal(0, 1, (100, 2)), 1), leaves)
+    assert 2**tree.depth * tree.cells**2 >= leaves and 2**tree.depth <= 8
+    p = rng.normal(0, 1.5, (60, 2))
+    lo, hi = p - rng.random((60, 2)) * 0.3, p + rng.random((60, 2)) * 0.3
+    row, leaf = tree.leaves_of(lo, hi)
+    assert len({(r, k) for r, k in zip(row, leaf)}) == len(row)
+    own = tree.leaf_of(p[:, 0], p[:, 1])
+    for i in range(60):
+        met = set(leaf[row == i])
+        for j in range(60):
+            if (lo[i] <= p[j]).all() and (p[j] <= hi[i]).all():
+                assert own[j] in met
+
+
+def test_pairs_with_many_more_leaves_than_the_sample_supports(spark, monkeypatch):
+    rows = [(f"k{i:04d}", float(y), float(x)) for i, (y, x) in enumerate(points(3))]
+    df = spark.createDataFrame(rows, "id string, lat double, lon double")
+    want = {(r.key_a, r.key_b) for r in pairs_within(df, "id", "lat", "lon", 200.0, R).collect()}
+    monkeypatch.setattr(proximity, "SAMPLE_POINTS", 60)
+    monkeypatch.setattr(proximity.in_triangles, "__defaults__", (4,))
+    assert {(r.key_a, r.key_b) for r in pairs_within(df, "id", "lat", "lon", 200.0, R).collect()} == want and want
