@@ -195,7 +195,7 @@ def grid_position(east: pd.Series, north: pd.Series) -> pd.DataFrame:
 def screen_clusters(points: DataFrame, by: Sequence[str], radius: float, most: int = 100_000) -> DataFrame:
     """(by, id, cluster): greedy clusters of (x, y), in order of x, y, id, each by its running centroid.
 
-    A point joins the nearest centroid strictly within ``radius``, of equal ones the earliest, or
+    A point joins the nearest centroid at most ``radius`` away, of equal ones the earliest, or
     founds a cluster. The rule depends on order, so a view is one task; a view is what a screen
     shows, and beyond ``most`` points an error is raised rather than any dropped.
     """

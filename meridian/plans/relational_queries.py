@@ -81,10 +81,8 @@ def match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_jaccard_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assertions of one date and country whose names share a third of their words or more."""
-    rows = _assertions(spark, sf_dir).select("assertion_id", "date_iso", "country_code", "place").distinct().withColumn("w", tokens(F.col("place")))
-    other = rows.select(F.col("assertion_id").alias("other_id"), "date_iso", "country_code", F.col("w").alias("v"))
-    pairs = rows.join(other, ["date_iso", "country_code"]).where("assertion_id < other_id").withColumn("similarity", F.round(jaccard(F.col("w"), F.col("v")), 6))
-    return pairs.where("similarity >= 0.33").select("assertion_id", "other_id", "similarity").distinct()
+    rows = _assertions(spark, sf_dir).select("assertion_id", "date_iso", "country_code", F.filter(tokens(F.col("place")), lambda w: w != "").alias("w")).distinct()
+    return match.similar_sets(rows, "assertion_id", ["date_iso", "country_code"], "w", 0.33)
 
 
 def alias_merge(spark: SparkSession, sf_dir: str) -> DataFrame:

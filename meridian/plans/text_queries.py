@@ -162,6 +162,7 @@ SELECT CASE WHEN d AND c THEN 'high' WHEN d THEN 'medium' WHEN l THEN 'low' WHEN
     "secret_scan": """SELECT source, count(*) AS documents, count(*) FILTER (WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS mail, count(*) FILTER (WHERE regexp_matches(text, '(AKIA[0-9A-Z]{16}|-----BEGIN [A-Z ]*PRIVATE KEY-----)')) AS keys, count(*) FILTER (WHERE regexp_matches(text, '[A-Za-z0-9+/=_-]{80,}')) AS runs FROM documents GROUP BY 1""",
     "partial_dates": """WITH r AS (SELECT DISTINCT commons_assertion_id, date_iso d FROM commons_crop_circle_assertions), l AS (SELECT *, CASE WHEN regexp_matches(d, '^\\d{4}(-\\d{2}(-\\d{2})?)?$') THEN try_cast(d || CASE length(d) WHEN 4 THEN '-01-01' WHEN 7 THEN '-01' ELSE '' END AS date) END AS lo FROM r)
 SELECT commons_assertion_id, strftime(lo, '%Y-%m-%d') AS low, strftime(CASE length(d) WHEN 4 THEN try_cast(d || '-12-31' AS date) WHEN 7 THEN last_day(lo) ELSE lo END, '%Y-%m-%d') AS high, CASE WHEN regexp_matches(d, '^\\d{4}-\\d{2}-\\d{2}$') THEN 'day' WHEN regexp_matches(d, '^\\d{4}-\\d{2}$') THEN 'month' WHEN regexp_matches(d, '^\\d{4}$') THEN 'year' ELSE 'unknown' END AS precision FROM l""",
+    "text_fold": "SELECT DISTINCT formation_id, trim(regexp_replace(strip_accents(lower(place)), '[^a-z0-9]+', ' ', 'g')) AS name FROM formations",
     "temporal_relation": """WITH p AS (SELECT DISTINCT commons_assertion_id, date_iso d, matched_formation_id AS formation_id FROM commons_crop_circle_assertions), f AS (SELECT DISTINCT formation_id, date_iso fd FROM formations),
 j AS (SELECT fd::date a, try_cast(d || CASE length(d) WHEN 4 THEN '-01-01' WHEN 7 THEN '-01' ELSE '' END AS date) lo, d FROM p JOIN f USING (formation_id)), k AS (SELECT a, lo, CASE length(d) WHEN 4 THEN try_cast(d || '-12-31' AS date) WHEN 7 THEN last_day(lo) ELSE lo END hi FROM j)
 SELECT CASE WHEN lo > a THEN 'later' WHEN hi < a THEN 'earlier' ELSE 'overlap_or_indeterminate' END AS relation, count(*) AS n FROM k GROUP BY 1""",
