@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meridian.llm.bpe import encode
+from meridian.llm.bpe import decode, encode
 from meridian.llm.components import components
 from meridian.llm.confusables import unify
 from meridian.llm.history import retold
@@ -101,12 +101,51 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_documents(table(spark, sf_dir, "documents"), "doc_id", "text", 512, 64)
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_repairs": p3_repairs, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_pieces": p10_pieces}
+def p8_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every document has its ids, and they spell its text: texts, ids missing, texts that don't come back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ids = encode(docs, "doc_id", "text").select("doc_id", F.xxhash64(decode(F.col("ids"))).alias("back"), F.size("ids").alias("n"))
+    # Repeated documents are compared as often as they are there.
+    side = lambda df, c: df.groupBy("doc_id", c.alias("h")).agg(F.count("*").alias("n"))
+    told, got = side(docs, F.xxhash64("text")), side(ids, F.col("back"))
+    same = told.join(got.withColumnRenamed("n", "m"), ["doc_id", "h"], "full")
+    return same.agg(F.sum("n").alias("documents"), F.coalesce(F.sum(F.when(~F.coalesce("n", F.lit(0)).eqNullSafe(F.coalesce("m", F.lit(0))), 1)), F.lit(0)).alias("different"))
+
+
+def p9_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of containers: every document is in one, none is over-full, only what exceeds one is cut, and how full they are."""
+    docs = table(spark, sf_dir, "documents")
+    rows = written(pack_documents(docs, "doc_id", "text", 2048).select("doc_id", "piece", "size", "container_id", "container_size"), "audit")
+    boxes = rows.groupBy("container_id").agg(F.sum("size").alias("s"), F.max("container_size").alias("told"))
+    box = boxes.agg(F.count_if(F.col("s") > 2048).alias("over_full"), F.count_if(F.col("s") != F.col("told")).alias("miscounted"), (F.sum("s") >= 0.98 * 2048 * (F.count("*") - 5)).alias("well_filled"))
+    texts = rows.groupBy("doc_id").agg(F.sum("size").alias("s"), F.max("piece").alias("p"))
+    cut = texts.agg(F.count("*").alias("documents"), F.count_if((F.col("p") > 0) & (F.col("s") <= 2048)).alias("cut_in_vain"))
+    return cut.crossJoin(box)  # one row each
+
+
+def p10_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of pieces: texts in order from end to end, none over the limit, neighbours sharing, numbers without gaps."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.length("text").alias("length")).distinct()
+    pieces = split_documents(table(spark, sf_dir, "documents"), "doc_id", "text", 512, 64).select("doc_id", "piece", "start", "end", "tokens", (F.length("text") == F.col("end") - F.col("start")).alias("whole")).distinct()
+    at = Window.partitionBy("doc_id").orderBy("piece")
+    rows = pieces.withColumns({"before": F.lag("end").over(at), "last": F.lag("start").over(at)})
+    rows = rows.groupBy("doc_id").agg(
+        F.max("tokens").alias("most"), F.bool_and("whole").alias("whole"), F.min("start").alias("first"), F.max("end").alias("end"), F.count("*").alias("n"), F.max("piece").alias("top"),
+        F.bool_and(F.coalesce((F.col("start") <= F.col("before")) & (F.col("start") > F.col("last")), F.lit(True))).alias("tiled"),
+    )
+    sound = (F.col("most") <= 512) & F.col("whole") & (F.col("first") == 0) & (F.col("end") == F.col("length")) & (F.col("n") == F.col("top") + 1) & F.col("tiled")
+    return rows.join(docs, "doc_id").agg(F.count_if(~sound).alias("unsound"), (F.count("*") > 0).alias("any"))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_repairs": p3_repairs, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_pieces": p10_pieces, "p8_verified": p8_verified, "p9_verified": p9_verified, "p10_verified": p10_verified}
 
 _RANKS = " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(STATUS_LADDER))
 _FILLED = " + ".join(f"(CASE WHEN {f} IS NOT NULL{'' if f in ('latitude', 'longitude', 'match_distance_km') else f' AND {f} <> {chr(39)}{chr(39)}'} THEN 1 ELSE 0 END)" for f in SURVIVOR_FIELDS)
 
 SQL = {
+    "p8_verified": "SELECT count(*) AS documents, 0 AS different FROM documents",
+    "p9_verified": "SELECT count(DISTINCT doc_id) AS documents, 0 AS cut_in_vain, 0 AS over_full, 0 AS miscounted, true AS well_filled FROM documents",
+    "p10_verified": "SELECT 0 AS unsound, count(*) FILTER (WHERE length(text) > 10000) > 0 AS any FROM documents",
     "p6_found": f"""
 WITH t AS (SELECT matched_formation_id, commons_assertion_id, retrieved_at,
     CASE WHEN match_status IS NULL THEN {len(STATUS_LADDER) + 1} ELSE (CASE lower(trim(match_status)) {_RANKS} ELSE {len(STATUS_LADDER)} END) END AS r, {_FILLED} AS f
