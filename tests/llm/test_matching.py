@@ -1,12 +1,13 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from meridian.llm import confusables, mojibake
 from meridian.llm import history
 from meridian.llm.history import HistoryIndex, retold, signatures
-from meridian.llm.linkage import Space, _keys, link, with_tokens
+from meridian.llm.linkage import SLOTS, Space, _keys, link, with_tokens
 from meridian.llm.places import core, fold, number, one_slip, same_area
 
 STORY = "assertion_id string, batch_no int, date_iso string, place string, region string, country_code string, sig string, token long"
@@ -206,7 +207,7 @@ def test_slips_meet_in_blocks_of_large_tables(spark):
     df = spark.createDataFrame(rows, "rid long, known string, asked string").selectExpr("*", "'' AS area", "2001 AS year", "DATE '2001-07-05' AS day", "CAST(NULL AS double) AS lat", "CAST(NULL AS double) AS lon")
     sides = [with_tokens(df.withColumn("name", F.col(c))).toPandas() for c in ("known", "asked")]
     for count, bits in ((12_000, 4), (120_000, 8), (1_200_000, 11)):
-        space, met = Space(sides[0].to_dict("records"), count), []
+        space, met = Space(sides[0].to_dict("records") + sides[1].to_dict("records"), np.bincount(np.concatenate(sides[0]["grams"].to_list()).astype(int), minlength=SLOTS) * count / 600, count), []
         for pdf, asked in zip(sides, (False, True)):
             blocks: dict[int, set] = {}
             for out in _keys(space, asked)([pdf]):
