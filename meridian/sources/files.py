@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
+import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from pathlib import PurePosixPath
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
@@ -15,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meridian.operators.records import upsert
+from meridian.runtime import get_text, put_text
+
 #: Members of archives are opened to this depth, size and ratio of expansion at most.
 MAX_DEPTH, MAX_BYTES, MAX_RATIO, MAX_TOTAL_BYTES = 2, 64 * 1024 * 1024, 200, 256 * 1024 * 1024
 
@@ -165,3 +170,43 @@ def zip_bytes(files: dict[str, bytes]) -> bytes:
 def canonical_json(value: object) -> str:
     """JSON with sorted keys and no blanks, for hashing."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def strict(df: DataFrame, required: Sequence[str], allowed: Sequence[str] = ()) -> DataFrame:
+    """``df``, or an error that names the columns that are missing or unknown."""
+    missing = [c for c in required if c not in df.columns]
+    unknown = [c for c in df.columns if c not in {*required, *allowed}]
+    if missing or unknown:
+        raise ValueError(f"columns missing: {', '.join(missing) or 'none'}; unknown: {', '.join(unknown) or 'none'}")
+    return df
+
+
+def upsert_csv(spark: SparkSession, path: str, fresh: DataFrame, key: str, replace: bool = False) -> None:
+    """Writes the rows of ``fresh`` into a CSV folder by key; readers see the old table or the new one, never half of it.
+
+    The new table is written beside the old one and takes its name at the end. A key that is there
+    already is an error unless ``replace``.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = fs.exists(where)
+    rows = upsert(spark.read.option("header", True).schema(fresh.schema).csv(path), fresh, key, replace) if there else fresh
+    beside, old = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}") for _ in range(2))
+    rows.write.option("header", True).csv(beside.toString())
+    if there:
+        fs.rename(where, old)
+    if not fs.rename(beside, where):
+        fs.rename(old, where)
+        raise OSError(f"{path} could not be replaced")
+    if there:
+        fs.delete(old, True)
+
+
+def save_artifact(spark: SparkSession, root: str, text: str, suffix: str = ".json") -> tuple[str, bool]:
+    """(path, was there): a text stored under the hash of its content; storing it again changes nothing."""
+    digest = hashlib.sha256(text.encode()).hexdigest()
+    path = f"{root.rstrip('/')}/{digest[:2]}/{digest}{suffix}"
+    there = get_text(spark, path) is not None
+    if not there:
+        put_text(spark, path, text)
+    return path, there

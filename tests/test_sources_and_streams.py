@@ -68,3 +68,27 @@ def test_pages(spark):
     assert page.title == "A & B" and [(a.url, a.text) for a in page.links] == [("https://h.example/x.html", "One two")]
     assert [(i.url, i.alt) for i in page.images] == [("https://h.example/d/p.jpg", "a b")] and page.text == "One two\npara"
     assert got["u"].title is None and got["e"].links == []
+
+
+def test_tables_are_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "table")
+    rows = lambda *r: spark.createDataFrame(list(r), "k int, v string")
+    files.upsert_csv(spark, path, rows((1, "a"), (2, "b")), "k")
+    files.upsert_csv(spark, path, rows((2, "c"), (3, "d")), "k", replace=True)
+    read = lambda: sorted(tuple(r) for r in spark.read.option("header", True).schema("k int, v string").csv(path).collect())
+    assert read() == [(1, "a"), (2, "c"), (3, "d")]
+    with pytest.raises(Exception, match="already there: 3"):
+        files.upsert_csv(spark, path, rows((3, "e")), "k")
+    assert read() == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_artifacts_are_stored_once(spark, tmp_path):
+    first, again = files.save_artifact(spark, str(tmp_path), '{"a":1}'), files.save_artifact(spark, str(tmp_path), '{"a":1}')
+    assert first == (again[0], False) and again[1] and files.save_artifact(spark, str(tmp_path), "other")[0] != first[0]
+
+
+def test_strict_columns(spark):
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    assert files.strict(df, ["a"], ["b"]) is df
+    with pytest.raises(ValueError, match="missing: c; unknown: b"):
+        files.strict(df, ["a", "c"])
