@@ -59,12 +59,14 @@ def components(pairs: DataFrame, left: str, right: str) -> DataFrame:
 def collapse(hooks: DataFrame) -> DataFrame:
     """The forest (id, parent), whose roots are their own parents, with every parent a root.
 
-    Pointer doubling: the number of rounds is the logarithm of the greatest depth.
+    Pointer doubling, two doublings between one cut of the lineage and the next: the number of
+    rounds is half the logarithm of the greatest depth.
     """
+    hooks = cut(hooks)
     while True:
-        hooks = cut(hooks)
-        up = hooks.select(F.col("id").alias("parent"), F.col("parent").alias("grand"))
-        lifted = hooks.join(up, "parent").select("id", "parent", "grand")
-        if lifted.where("parent <> grand").isEmpty():
+        up = lambda h: h.select(F.col("id").alias("parent"), F.col("parent").alias("grand"))
+        once = hooks.join(up(hooks), "parent").select("id", F.col("grand").alias("parent"))
+        twice = cut(once.join(up(once), "parent").select("id", "grand", (F.col("parent") != F.col("grand")).alias("moved")))
+        hooks = twice.select("id", F.col("grand").alias("parent"))
+        if twice.where("moved").isEmpty():
             return hooks
-        hooks = lifted.select("id", F.col("grand").alias("parent"))
