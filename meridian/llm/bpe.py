@@ -30,7 +30,7 @@ TASK_TEXTS = 5000
 # The pattern that cuts a text into words, with white space as Unicode has it. Letters and
 # digits come first: nothing else can match where they do, and most words are theirs.
 _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-PATTERN = rf" ?\p{{L}}+| ?\p{{N}}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+PATTERN = rf" ?(?:\p{{L}}++|\p{{N}}++)|'(?:s|t|re|ve|m|ll|d)| ?[^{_SPACE}\p{{L}}\p{{N}}]++|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
 
 def _byte_letters() -> dict[str, int]:
@@ -149,12 +149,12 @@ def encode(rows: DataFrame, key: str, text: str, path: str | None = None) -> Dat
     hot_words, hot_ids = _hot(some.where("t <> ''").limit(SAMPLE_TEXTS), path)
     numbers = {w: i for i, w in enumerate(w for w in hot_words if w)}
     known, quick = F.split(F.lit("\x01".join(hot_words)), "\x01", -1), _literal([numbers.get(w, -1) for w in hot_words], "int")
-    packed = _literal([i for w, i in zip(hot_words, hot_ids) if w] or [-1], "bigint")
+    # A list of lists, which the optimizer folds to one literal: a common word's ids are taken as they are.
+    common = F.from_json(F.lit(json.dumps([i for w, i in zip(hot_words, hot_ids) if w] or [[0]], separators=(",", ":"))), "array<array<int>>")
     # A word's code: its number among the common words, or minus its number, from 1, among the text's other words.
-    opened = lambda table, c: F.when(F.get(table, c) < 65536, F.array(F.get(table, c).cast("int"))).otherwise(_unpack(F.get(table, c)))
-    ids = lambda rare: _let(packed, lambda table: F.flatten(F.transform("codes", lambda c: F.when(c < 0, F.get("rare", -c - 1)["ids"]).otherwise(opened(table, c)) if rare else opened(table, c))))
-    coded = docs.select("k", "rid", words_of(F.col("t")).alias("words")).withColumn("slots", F.transform("words", _slot))
-    coded = coded.withColumn("found", F.zip_with("words", "slots", lambda w, s: F.when(F.get(known, s) == w, F.get(quick, s))))
+    ids = lambda rare: _let(common, lambda table: F.flatten(F.transform("codes", lambda c: F.when(c < 0, F.get("rare", -c - 1)["ids"]).otherwise(F.get(table, c)) if rare else F.get(table, c))))
+    coded = docs.select("k", "rid", words_of(F.col("t")).alias("words"))
+    coded = coded.withColumn("found", F.transform("words", lambda w: F.when(F.get(known, _slot(w)) == w, F.get(quick, _slot(w)))))
     coded = coded.withColumn("miss", F.array_distinct(F.filter("words", lambda w, i: F.get("found", i).isNull())))
     coded = coded.withColumn("codes", F.transform("found", lambda c, i: F.coalesce(c, -F.array_position("miss", F.get("words", i)).cast("int"))))
     # Two bytes a code, but for a text of very many words of its own.
@@ -177,21 +177,15 @@ def _slot(word: Column) -> Column:
     return F.hash(word).bitwiseAND(HOT_SLOTS - 1)
 
 
-def _unpack(code: Column) -> Column:
-    """The two or three ids in one number: 16 bits each, the first lowest, a third one raised by one."""
-    low, mid, high = (code % 65536).cast("int"), (F.shiftright(code, 16) % 65536).cast("int"), (F.shiftright(code, 32) % 131072).cast("int")
-    return F.when(high > 0, F.array(low, mid - 1, high - 1)).otherwise(F.array(low, mid - 1))
-
-
-def _hot(texts: DataFrame, path: str) -> tuple[list[str], list[int]]:
-    """Words and packed ids by slot: the sample's commonest words of at most three tokens."""
+def _hot(texts: DataFrame, path: str) -> tuple[list[str], list[list[int]]]:
+    """Words and their ids by slot: the sample's commonest words of at most three tokens."""
     counts = texts.select(F.explode(words_of(F.col("t"))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(~F.col("w").contains("\x01") & (F.length("w") < 40))
     top = counts.orderBy(F.desc("n"), "w").limit(HOT_WORDS).repartition(texts.sparkSession.sparkContext.defaultParallelism)
-    words, ids = [""] * HOT_SLOTS, [-1] * HOT_SLOTS
+    words, ids = [""] * HOT_SLOTS, [[] for _ in range(HOT_SLOTS)]
     for r in sorted(top.select("w", "n", encode_word(F.col("w"), path).alias("ids"), _slot(F.col("w")).alias("s")).collect(), key=lambda r: (-r["n"], r["w"])):
         if not words[r["s"]] and len(r["ids"]) <= 3:
             words[r["s"]] = r["w"]
-            ids[r["s"]] = sum((i + (at > 0)) << 16 * at for at, i in enumerate(r["ids"]))
+            ids[r["s"]] = list(r["ids"])
     return words, ids
 
 
