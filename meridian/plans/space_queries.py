@@ -205,9 +205,9 @@ SELECT ray_id, site_id, round(d, 4) AS distance_km, round(al, 4) AS along_km, ro
     "topk_cosine": f"SELECT query, vec_id, cosine, rank FROM ({_TOP}) WHERE rank <= 5",
     "ratio_test_match": f"WITH t AS ({_TOP}), b AS (SELECT query, max(vec_id) FILTER (WHERE rank = 1) AS vec_id, round(1 - max(cosine) FILTER (WHERE rank = 1), 6) AS d1, round(1 - max(cosine) FILTER (WHERE rank = 2), 6) AS d2 FROM t GROUP BY 1) SELECT * FROM b WHERE d1 < 0.95 * d2",
     "recall_at_k": f"WITH t AS ({_TOP}), f AS (SELECT query, min(rank) FILTER (WHERE own = label AND rank <= 10) AS r FROM t GROUP BY 1) SELECT k, round(avg(CASE WHEN r <= k THEN 1.0 ELSE 0.0 END), 6) AS recall FROM f, (VALUES (1), (3), (5), (10)) v(k) GROUP BY k",
-    "affine_fit": f"""WITH p AS (SELECT country_code c, longitude x, latitude y, radians(longitude) * 6378.137 u, ln(tan(pi() / 4 + radians(latitude) / 2)) * 6378.137 v FROM {_PLACED} WHERE country_code <> '' AND abs(latitude) < 85),
+    "affine_fit": f"""WITH p AS (SELECT country_code c, longitude x, latitude y, radians(longitude) * 6378.137 u, ln(tan(pi() / 4 + radians(greatest(-85.0511287798066, least(85.0511287798066, latitude))) / 2)) * 6378.137 v FROM {_PLACED} WHERE country_code <> ''),
 s AS (SELECT c, count(*) n, avg(x) mx, avg(y) my, avg(u) mu, avg(v) mv, var_pop(x) xx, var_pop(y) yy, covar_pop(x, y) xy, covar_pop(x, u) xu, covar_pop(y, u) yu, covar_pop(x, v) xv, covar_pop(y, v) yv FROM p GROUP BY 1),
-k AS (SELECT *, xx * yy - xy * xy d FROM s), f AS (SELECT *, (xu * yy - yu * xy) / d a, (yu * xx - xu * xy) / d b, (xv * yy - yv * xy) / d g, (yv * xx - xv * xy) / d h FROM k WHERE n >= 3 AND d > 0)
+k AS (SELECT *, xx * yy - xy * xy d FROM s), f AS (SELECT *, (xu * yy - yu * xy) / e a, (yu * xx - xu * xy) / e b, (xv * yy - yv * xy) / e g, (yv * xx - xv * xy) / e h FROM (SELECT *, CASE WHEN n >= 3 AND d > 0 THEN d END e FROM k))
 SELECT c AS country_code, round(any_value(a), 4) AS a, round(sqrt(avg(power(mu + a * (x - mx) + b * (y - my) - u, 2) + power(mv + g * (x - mx) + h * (y - my) - v, 2))), 4) AS rmse, any_value(n)::int AS n FROM p JOIN f USING (c) GROUP BY c""",
     "homography_apply": f"SELECT formation_id, round({_H[0]}, 6) AS u, round({_H[1]}, 6) AS v FROM {_PLACED}",
     "quad_checks": """WITH q AS (SELECT o_orderkey, 0.0 x0, 0.0 y0, (10 + o_orderkey % 7)::double x1, (o_orderkey % 3 - 1)::double y1, (12 - o_orderkey % 11)::double x2, (8 + o_orderkey % 4)::double y2, (o_orderkey % 5 - 2)::double x3, (9 - o_orderkey % 6)::double y3 FROM orders),
