@@ -120,7 +120,9 @@ def dated_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to eight different passages of each text about directions and about positions, and the priority that follows."""
-    around = lambda words: F.slice(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(rf"[^\n]{{0,30}}\b(?:{words})\b[^\n]{{0,30}}"), F.lit(0)), lambda s: F.trim(s))), 1, 8)
+    # The words alone are looked for first: most texts have none, and the window before a word is tried at every letter.
+    passages = lambda words: F.when(F.col("text").rlike(rf"\b(?:{words})\b"), F.regexp_extract_all("text", F.lit(rf"[^\n]{{0,30}}\b(?:{words})\b[^\n]{{0,30}}"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    around = lambda words: F.slice(F.array_distinct(F.transform(passages(words), lambda s: F.trim(s))), 1, 8)
     rows = _texts(spark, sf_dir).select("doc_id", around("axis|bearing|azimuth|north|compass").alias("a"), around("latitude|longitude|coordinates|grid reference").alias("b")).distinct()
     rows = rows.where((F.size("a") > 0) | (F.size("b") > 0))
     return rows.select("doc_id", F.array_join("a", " || ").alias("orientation"), F.array_join("b", " || ").alias("coordinate"), F.when((F.size("a") > 0) & (F.size("b") > 0), "high").when(F.size("a") > 0, "medium").otherwise("coordinate_only").alias("priority"))

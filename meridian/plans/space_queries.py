@@ -67,7 +67,7 @@ def corridor_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = (F.conv(F.substring("formation_id", 4, 4), 16, 10).cast("int") % 360).cast("double")
     rays = placed.select(F.col("formation_id").alias("ray_id"), F.col("latitude").alias("ray_lat"), F.col("longitude").alias("ray_lon"), turn.alias("azimuth"), F.lit(300.0).alias("range_km"), F.lit(10.0).alias("corridor_km"))
     sites = placed.select(F.col("formation_id").alias("site_id"), F.col("latitude").alias("site_lat"), F.col("longitude").alias("site_lon"))
-    return match.corridor_join(rays, sites, "ray_id", "site_id", 0.25).select("ray_id", "site_id", *(F.round(c, 4).alias(c) for c in ("distance_km", "along_km", "cross_km")))
+    return match.corridor_join(rays, sites, "ray_id", "site_id", 0.125).select("ray_id", "site_id", *(F.round(c, 4).alias(c) for c in ("distance_km", "along_km", "cross_km")))
 
 
 def topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
