@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meridian.llm import confusables, mojibake
-from meridian.llm import history
+from meridian.llm import history, linkage
 from meridian.llm.history import HistoryIndex, retold, signatures
 from meridian.llm.linkage import SLOTS, Space, _keys, link, with_tokens
 from meridian.llm.places import core, fold, number, one_slip, same_area
@@ -216,3 +216,24 @@ def test_slips_meet_in_blocks_of_large_tables(spark):
             met.append(blocks)
         found = sum(bool(met[0][i] & met[1][i]) for i in range(600))
         assert space.year_bits == bits and found >= 0.9 * 600, (count, found)
+
+
+def test_what_trains_the_vectors_does_not_grow_with_the_tasks(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "TRAIN_RECORDS", 300)
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choice("abdefgiklmnoprstu") for _ in range(24)) + " down"
+    known = [(f"f{i:05d}", f"{1980 + i % 40}-07-05", name(), "Wendshire", "United Kingdom", "GB", 50.0 + i / 1e4, -3.0) for i in range(16_000)]
+    left, right = spark.createDataFrame(known, PLACE).repartition(32), spark.createDataFrame(known[:50], PLACE.replace("fid", "pid"))
+    conf, files = spark.sparkContext._jsc.sc().conf(), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    conf.set("spark.driver.maxResultSize", "1m")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64k")
+    try:
+        assert link(left, right, "fid", "pid").count() == 50
+    finally:
+        conf.remove("spark.driver.maxResultSize")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", files)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    records = spark.range(5000).select(F.col("id").alias("rid"), (F.col("id") * 2).alias("v"))
+    want = [r.v for r in records.orderBy(F.xxhash64("rid"), "rid").limit(300).collect()]
+    assert [r["v"] for r in linkage.drawn(records, 300, ["v"])] == want and len(linkage.drawn(records.limit(20), 300, ["v"])) == 20
