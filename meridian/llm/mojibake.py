@@ -9,15 +9,17 @@ description length, the cost of the chain included, is chosen, else the text sta
 from __future__ import annotations
 
 import math
+import random
 import re
 import unicodedata
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridian.runtime import written
+
 # Encodings that bytes of UTF-8 are mistaken for, and pairs (mistaken for, meant) of one-byte and double-byte ones.
 READ_AS = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "iso8859_2", "cp1251", "koi8_r", "cp866", "cp1253", "iso8859_7", "cp1254", "iso8859_15"]
 MEANT = [
@@ -38,12 +40,16 @@ SIGNS = "–—‘’“”„«»‹›…°№©½¼¾²³£€ºª¿¡・「
 STEP_COST, SWAP_COST, MARGIN = 1, 1.25, 0.5
 #: Steps of a chain: texts are garbled twice, seldom three times.
 STEPS = 3
-#: Texts that are looked through for training, anchors of one language that its dictionary is trained on at most, and the dictionary's size.
-SAMPLE_TEXTS, TRAIN_TEXTS, DICTIONARY_BYTES = 20_000, 1000, 8192
+#: Phrases of a language that its dictionary is trained on, the words of one at most, and the dictionary's size.
+PHRASES, PHRASE_WORDS, DICTIONARY_BYTES = 700, 4, 8192
+#: Pairs of letters kept of a language, and the letters of a word made of them at most.
+PAIRS, WORD_LETTERS = 8192, 12
 #: Texts that a task reads, so that tasks stay short however many texts there are.
 TASK_TEXTS = 5000
 # What stands in no word: a sign between letters, and a marked capital after a small letter.
 _SIGN_IN_WORD = re.compile("(?<=[^\\W\\d_])[¡-©«¬®-¶¸¹»-¿×÷‚„†‡‰‹›€™─-╿√∞≈≤≥∂∆∏∑∫Ω¨´](?=[^\\W\\d_])|(?<=[a-zß-öø-ÿ])[À-ÖØ-ÞŒŸŠŽ]")
+# A word with the blanks before it, for the JVM; a run without blanks is cut.
+_WORD = r"\s*(?:\p{IsHan}+|\p{IsHiragana}+|\p{IsKatakana}+|\S{1,16})"
 _HOPELESS = re.compile("[�\x80-\x9f]")
 
 
@@ -242,12 +248,48 @@ def choose(text: str, scale: Scale) -> tuple[str, int]:
     return (best[2], best[1]) if best[1] and best[0] + MARGIN <= own else (text, 0)
 
 
+def _commonest(rows: DataFrame, size: Column, most: int) -> dict[str, dict[str, int]]:
+    """Of every lang, the ``most`` values x of the most rows times ``size``, with their rows."""
+    counts = rows.groupBy("lang", "x").agg(F.count("*").alias("n"))
+    top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(F.col("n") * size), "x"))).where(F.col("rank") <= most)
+    by: dict[str, dict[str, int]] = {}
+    for r in sorted(top.collect(), key=lambda r: (r["lang"], r["rank"])):
+        by.setdefault(r["lang"], {})[r["x"]] = r["n"]
+    return by
+
+
+def _as_often(counts: dict[str, int]) -> list[str]:
+    """Each value once at least, and as often as its share of the count is of their number, in an order of no meaning."""
+    share = len(counts) / sum(counts.values())
+    out = [x for x, k in counts.items() for _ in range(max(1, round(k * share)))]
+    random.Random(7).shuffle(out)
+    return out
+
+
+def spelled(pairs: dict[str, int], n: int) -> list[str]:
+    """``n`` words of no meaning, with a blank before, in which letters follow each other as often as in ``pairs``."""
+    rng, after = random.Random(7), {}
+    for pair, k in pairs.items():
+        after.setdefault(pair[0], ([], []))[0].append(pair[1])
+        after[pair[0]][1].append(k)
+    out = []
+    for _ in range(n):
+        word = " "
+        while len(word) < WORD_LETTERS and word[-1] in after and (len(word) == 1 or word[-1] != " "):
+            word += rng.choices(*after[word[-1]])[0]
+        out.append(word)
+    return out
+
+
 def train(texts: DataFrame) -> tuple[dict[str, bytes], float]:
     """A dictionary of each language, and the bytes that a sign inside a word takes.
 
-    ``texts`` (column text, each once) are sampled by hash down to about ``SAMPLE_TEXTS``; of those
-    at most ``TRAIN_TEXTS`` train a language, each of the languages whose letters are theirs. Texts
-    that a chain could change, or that hold characters of no language, train nothing.
+    ``texts`` (column text, each once) are all counted, each for every language whose letters are its
+    own. Texts that a chain could change, or that hold characters of no language, train nothing.
+    What tells a language is its counts: the ``PHRASES`` runs of up to ``PHRASE_WORDS`` words that fill
+    most of its texts, and its pairs of letters. Its dictionary is trained on those phrases, each as
+    often as it was counted, with a word after each that is spelled as the pairs were counted and
+    stands for the rarer words. Only these counts and two sums come to the driver.
     """
     import zstandard
 
@@ -255,28 +297,30 @@ def train(texts: DataFrame) -> tuple[dict[str, bytes], float]:
         for pdf in batches:
             rows = []
             for t in pdf["text"]:
-                fit = ["en"] if t.isascii() else fitting(t)
+                fit = fitting(t)
                 if fit and not any(_LEADS[e].search(t) and from_utf8(t, e) != t for e in READ_AS if e not in ("cp866", "koi8_r")):
                     inside = sum(a.isalpha() and b.isalpha() for a, b in zip(t, t[1:]))
                     rows += [(f, t, inside if f == fit[0] else 0, odd_signs(t) if f == fit[0] else 0) for f in fit]
             yield pd.DataFrame(rows, columns=["lang", "text", "inside", "signs"])
 
-    parts = 1 << 20
-    share = math.ceil(min(1.0, SAMPLE_TEXTS / max(1, texts.count())) * parts)
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(parts)) < share)
-    sorted_ = some.mapInPandas(sort_out, "lang string, text string, inside long, signs long")
-    by: dict[str, list[bytes]] = {}
-    inside = signs = 0
-    for r in sorted_.collect():  # at most the sample, some texts for several languages
-        by.setdefault(r["lang"], []).append(r["text"].encode())
-        inside, signs = inside + r["inside"], signs + r["signs"]
+    odd = F.col("text").rlike(r"[^\x00-\x7f]")
+    plain = texts.where(~odd).select(F.lit("en").alias("lang"), "text", F.regexp_count("text", F.lit("[A-Za-z](?=[A-Za-z])")).cast("long").alias("inside"), F.lit(0).cast("long").alias("signs"))
+    clean = written(plain.unionByName(texts.where(odd).mapInPandas(sort_out, "lang string, text string, inside long, signs long")), "clean")
+    inside, signs = clean.agg(F.coalesce(F.sum("inside"), F.lit(0)), F.coalesce(F.sum("signs"), F.lit(0))).first()
+    words = clean.select("lang", F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)).alias("w"))
+    runs = F.flatten(F.transform("w", lambda _, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(PHRASE_WORDS), F.size("w") - i)), lambda n: F.array_join(F.slice("w", i + 1, n), ""))))
+    spaced = F.concat(F.lit(" "), "text", F.lit(" "))
+    pairs = F.transform(F.sequence(F.lit(1), F.length("text") + 1), lambda i: F.substring(spaced, i, 2))
+    phrases = _commonest(words.select("lang", F.explode(runs).alias("x")), F.octet_length("x"), PHRASES)
+    letters = _commonest(clean.select("lang", F.explode(pairs).alias("x")), F.lit(1), PAIRS)
     out = {}
-    for lang, samples in sorted(by.items()):
-        samples = sorted(sorted(samples, key=lambda b: (zlib.crc32(b), b))[:TRAIN_TEXTS])
+    for lang, told in sorted(phrases.items()):
+        often = _as_often(told)
+        samples = [(p + w).encode() for p, w in zip(often, spelled(letters[lang], len(often)))]
         try:
             out[lang] = zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=9).as_bytes()
         except zstandard.ZstdError:  # too few samples: they are the dictionary
-            out[lang] = b"\n".join(samples)[-DICTIONARY_BYTES:]
+            out[lang] = "\n".join(sorted(told, key=lambda p: (told[p] * len(p), p))).encode()[-DICTIONARY_BYTES:]
     return out, math.log2((inside + 2) / (signs + 1)) / 8
 
 

@@ -135,6 +135,26 @@ def test_garbled_texts_are_found_and_restored(spark):
     assert mojibake.repair(df.limit(0), "key", "text").count() == 0
 
 
+def many_anchors():
+    words = ["Größe", "Höhe", "Halme", "Zählung", "Straße", "survey", "report", "relevé"]
+    return [f"{words[i % 8]} {words[i // 8 % 7]} {'x' * (i % 5)} {i}" for i in range(24_000)] + ["Zelpamo±d 7", "Ã¼ber Ã¤hren", "麦畑の円形模様", None, ""]
+
+
+def sign_bytes(texts):
+    clean = [t for t in set(texts) if t and (t.isascii() or mojibake.fitting(t)) and not any(mojibake.from_utf8(t, e) != t for e in ("cp1252", "latin-1"))]
+    inside = sum(a.isalpha() and b.isalpha() for t in clean for a, b in zip(t, t[1:]))
+    return np.log2((inside + 2) / (sum(map(mojibake.odd_signs, clean)) + 1)) / 8
+
+
+def test_all_texts_train_the_description(spark):
+    texts = many_anchors()
+    df = spark.createDataFrame([(t,) for t in texts if t], "text string").distinct()
+    dictionaries, sign = mojibake.train(df)
+    assert abs(sign - sign_bytes(texts)) < 1e-9 and {"en", "de", "fr", "ja"} <= set(dictionaries)
+    assert (dictionaries, sign) == mojibake.train(df.repartition(7))
+    assert mojibake.train(df.limit(0)) == ({}, 1 / 8)
+
+
 def test_what_the_jvm_sifts_out_has_no_reading(spark):
     texts = CLEAN + [bad for bad, _ in garbled()] + ORDINARY + list(ALIKE) + ["Zelpamo±d", "M\ufffdt", "a\x85b", "naïve é", "ß" * 5000]
     rows = spark.createDataFrame([(t,) for t in texts if t], "t string").withColumn("s", mojibake.suspicious(F.col("t"))).collect()
