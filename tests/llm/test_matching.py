@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meridian.llm import confusables, mojibake
-from meridian.llm import history, linkage
+from meridian.llm import history, linkage, queries
 from meridian.llm.history import HistoryIndex, retold, signatures
 from meridian.llm.linkage import SLOTS, Space, _keys, link, with_tokens
 from meridian.llm.places import core, fold, number, one_slip, same_area
@@ -155,6 +155,18 @@ def test_all_texts_train_the_description(spark):
     assert mojibake.train(df.limit(0)) == ({}, 1 / 8)
 
 
+def test_forms_are_judged_by_all_anchors(spark, data, tmp_path, monkeypatch):
+    texts = many_anchors() + ["Dоrford Größe", "Ｈöhe"]
+    anchors = spark.createDataFrame([(f"u{i}", t) for i, t in enumerate(texts)], "url string, anchor_text string")
+    anchors.write.parquet(f"{tmp_path}/iccra_report_links_full.parquet")
+    spark.read.parquet(f"{data}/commons_crop_circle_assertions.parquet").write.parquet(f"{tmp_path}/commons_crop_circle_assertions.parquet")
+    signs, train = [], mojibake.train
+    monkeypatch.setattr(mojibake, "train", lambda df: signs.append(train(df)) or signs[-1])
+    got = {r.record_key for r in queries.p4_forms(spark, str(tmp_path)).where("table_name = 'iccra_report_links_full'").collect()}
+    assert got == {f"u{len(texts) - 2}", f"u{len(texts) - 1}"}
+    assert [abs(s - sign_bytes(texts)) < 1e-9 for _, s in signs] == [True]
+
+
 def test_what_the_jvm_sifts_out_has_no_reading(spark):
     texts = CLEAN + [bad for bad, _ in garbled()] + ORDINARY + list(ALIKE) + ["Zelpamo±d", "M\ufffdt", "a\x85b", "naïve é", "ß" * 5000]
     rows = spark.createDataFrame([(t,) for t in texts if t], "t string").withColumn("s", mojibake.suspicious(F.col("t"))).collect()
