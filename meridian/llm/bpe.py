@@ -4,7 +4,8 @@ A vocabulary's merges become a literal: a two-way hash table of (left id, right
 laid out in arrays, looked up in two probes. Each distinct word of the corpus is encoded once by
 ``aggregate`` over its bytes; a step merges every occurrence of its lowest-ranked pair. The ids
 of the commonest words also become a bounded literal, so that most of a text is encoded where it
-lies, and only its rarer words are shuffled to the dictionary of words.
+lies, and only its rarer words are shuffled to the dictionary of words. Texts are cut into words,
+and words numbered, in Python.
 """
 
 from __future__ import annotations
@@ -12,9 +13,13 @@ from __future__ import annotations
 import json
 import math
 import os
-from collections.abc import Callable
+import re
+import unicodedata
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +27,10 @@ from meridian.runtime import written
 
 #: Folder of the public vocabularies; never copied into the repository.
 TOKENIZERS = os.environ.get("MERIDIAN_TOKENIZERS", "/opt/tokenizers")
-#: Commonest words kept as a literal, the slots of its table (a bound on its size), and the texts they come from.
-HOT_WORDS, HOT_SLOTS, SAMPLE_TEXTS = 20000, 65536, 5000
+#: Commonest words kept as a literal, and the texts they come from.
+HOT_WORDS, SAMPLE_TEXTS = 20000, 5000
+#: Texts that a task codes at a time.
+CODED_AT_ONCE = 1000
 #: Texts whose rarer words one task folds.
 TASK_TEXTS = 5000
 
@@ -33,6 +40,12 @@ _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x
 PATTERN = rf" ?(?:\p{{L}}++|\p{{N}}++)|'(?:s|t|re|ve|m|ll|d)| ?[^{_SPACE}\p{{L}}\p{{N}}]++|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
 
+def _class(major: str) -> str:
+    """The characters below 0x10000 of a general category, as ranges of a character class."""
+    of = "".join("x" if unicodedata.category(chr(c))[0] == major else " " for c in range(0x10000))
+    return "".join(f"{re.escape(chr(m.start()))}-{re.escape(chr(m.end() - 1))}" for m in re.finditer("x+", of))
+
+
 def _byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in the vocabulary file."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -128,6 +141,19 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
+def cutter() -> Callable[[str], list[str]]:
+    """``words_of`` in Python, where words are looked up one by one in far less time than higher-order functions take."""
+    import regex
+
+    pattern = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), PATTERN)
+    whole, wide = regex.compile(pattern).findall, re.compile("[\U00010000-\U0010ffff]").search
+    # The standard module is faster; it needs the classes spelled out, and only those below 0x10000 are quick.
+    of = {major: _class(major) for major in "LN"}
+    pattern = pattern.replace(r"\p{L}\p{N}]", f"{of['L']}{of['N']}]").replace(r"\p{L}", f"[{of['L']}]").replace(r"\p{N}", f"[{of['N']}]")
+    quick = re.compile(pattern).findall
+    return lambda text: whole(text) if wide(text) else quick(text)
+
+
 def encode(rows: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
     """(key, ids) of every row, ids a list of integers without special tokens.
 
@@ -136,7 +162,7 @@ def encode(rows: DataFrame, key: str, text: str, path: str | None = None) -> Dat
     went in. Other columns are ignored. A text of any length is one row of its words; a word of
     any length is one row of its bytes.
 
-    The ids of the commonest words of a bounded sample are a literal of ``HOT_SLOTS`` entries;
+    The ids of the commonest words of a bounded sample are a literal of ``HOT_WORDS`` entries at most;
     they are filled in where the text lies. A text's other words are numbered within it, made
     distinct over the corpus, folded once each, and joined back by word and text. Which words
     the literal has changes only the way, not the result.
@@ -146,21 +172,29 @@ def encode(rows: DataFrame, key: str, text: str, path: str | None = None) -> Dat
     n = rows.count()
     # Texts from all over the table; a third more than wanted, since a sample's size varies.
     some = rows.select(F.col(text).alias("t")).sample(min(1.0, 4 / 3 * SAMPLE_TEXTS / max(1, n)), seed=7)
-    hot_words, hot_ids = _hot(some.where("t <> ''").limit(SAMPLE_TEXTS), path)
-    numbers = {w: i for i, w in enumerate(w for w in hot_words if w)}
-    known, quick = F.split(F.lit("\x01".join(hot_words)), "\x01", -1), _literal([numbers.get(w, -1) for w in hot_words], "int")
+    hot = _hot(some.where("t <> ''").limit(SAMPLE_TEXTS), path)
+    numbers = {w: i for i, w in enumerate(hot)}
     # A list of lists, which the optimizer folds to one literal: a common word's ids are taken as they are.
-    common = F.from_json(F.lit(json.dumps([i for w, i in zip(hot_words, hot_ids) if w] or [[0]], separators=(",", ":"))), "array<array<int>>")
-    # A word's code: its number among the common words, or minus its number, from 1, among the text's other words.
+    common = F.from_json(F.lit(json.dumps(list(hot.values()) or [[0]], separators=(",", ":"))), "array<array<int>>")
     ids = lambda rare: _let(common, lambda table: F.flatten(F.transform("codes", lambda c: F.when(c < 0, F.get("rare", -c - 1)["ids"]).otherwise(F.get(table, c)) if rare else F.get(table, c))))
-    coded = docs.select("k", "rid", words_of(F.col("t")).alias("words"))
-    coded = coded.withColumn("found", F.transform("words", lambda w: F.when(F.get(known, _slot(w)) == w, F.get(quick, _slot(w)))))
-    coded = coded.withColumn("miss", F.array_distinct(F.filter("words", lambda w, i: F.get("found", i).isNull())))
-    coded = coded.withColumn("codes", F.transform("found", lambda c, i: F.coalesce(c, -F.array_position("miss", F.get("words", i)).cast("int"))))
-    # Two bytes a code, but for a text of very many words of its own.
-    short = F.size("miss") < 32768
-    coded = coded.select("k", "rid", F.when(short, F.col("codes").cast("array<smallint>")).alias("small"), F.when(~short, F.col("codes")).alias("large"), "miss")
-    coded = written(coded, "coded")
+
+    def coded_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, number = cutter(), numbers.get
+        for batch in (whole.slice(at, CODED_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, CODED_AT_ONCE)):
+            small, large, miss = [], [], []
+            for t in batch.column("t").to_pylist():
+                own: dict[str, int] = {}
+                codes = [c if (c := number(w)) is not None else -own.setdefault(w, len(own) + 1) for w in cut(t)]
+                # Two bytes a code, but for a text of very many words of its own.
+                short = len(own) < 32768
+                small.append(np.array(codes, np.int16) if short else None)
+                large.append(None if short else np.array(codes, np.int32))
+                miss.append(list(own))
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("rid"), pa.array(small, pa.list_(pa.int16())), pa.array(large, pa.list_(pa.int32())), pa.array(miss, pa.list_(pa.string()))], ["k", "rid", "small", "large", "miss"])
+
+    # A word's code: its number among the common words, or minus its number, from 1, among the text's other words.
+    kind = docs.schema["k"].dataType.simpleString()
+    coded = written(docs.mapInArrow(coded_, f"k {kind}, rid long, small array<smallint>, large array<int>, miss array<string>"), "coded")
     codes = F.coalesce(F.col("small").cast("array<int>"), F.col("large")).alias("codes")
     misses = coded.select("rid", F.posexplode("miss").alias("i", "w"))
     # Spread by word, so that the fold is not left to a few merged partitions; more of them for more texts.
@@ -173,20 +207,12 @@ def encode(rows: DataFrame, key: str, text: str, path: str | None = None) -> Dat
     return open_.unionByName(shut)
 
 
-def _slot(word: Column) -> Column:
-    return F.hash(word).bitwiseAND(HOT_SLOTS - 1)
-
-
-def _hot(texts: DataFrame, path: str) -> tuple[list[str], list[list[int]]]:
-    """Words and their ids by slot: the sample's commonest words of at most three tokens."""
-    counts = texts.select(F.explode(words_of(F.col("t"))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(~F.col("w").contains("\x01") & (F.length("w") < 40))
+def _hot(texts: DataFrame, path: str) -> dict[str, list[int]]:
+    """The sample's commonest words, of at most three tokens, with their ids."""
+    counts = texts.select(F.explode(words_of(F.col("t"))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.length("w") < 40)
     top = counts.orderBy(F.desc("n"), "w").limit(HOT_WORDS).repartition(texts.sparkSession.sparkContext.defaultParallelism)
-    words, ids = [""] * HOT_SLOTS, [[] for _ in range(HOT_SLOTS)]
-    for r in sorted(top.select("w", "n", encode_word(F.col("w"), path).alias("ids"), _slot(F.col("w")).alias("s")).collect(), key=lambda r: (-r["n"], r["w"])):
-        if not words[r["s"]] and len(r["ids"]) <= 3:
-            words[r["s"]] = r["w"]
-            ids[r["s"]] = list(r["ids"])
-    return words, ids
+    found = top.select("w", "n", encode_word(F.col("w"), path).alias("ids")).collect()
+    return {r["w"]: list(r["ids"]) for r in sorted(found, key=lambda r: (-r["n"], r["w"])) if len(r["ids"]) <= 3}
 
 
 def decode(ids: Column, path: str | None = None) -> Column:

@@ -141,3 +141,20 @@ def test_deep_subtrees_are_kept_whole_before_shallow_ones_are_opened(spark):
 @pytest.mark.parametrize("text", [t for t in TEXTS if t])
 def test_words_make_up_the_text(spark, text):
     assert "".join(spark.createDataFrame([(text,)], "t string").select(bpe.words_of(F.col("t")).alias("w")).first().w) == text
+
+
+def test_words_are_cut_alike_in_python_and_in_the_jvm(spark):
+    rng = random.Random(5)
+    spaces = "\t\n\x0b\x0c\r\x1c\x1f \x85\xa0\u1680\u180e\u2003\u200b\u2028\u202f\u205f\u3000"
+    signs = spaces + "aZé_'’sʼ½²Ⅻ٣ⅳ७日ー゛ｶ\u0301\u200d-.,😀𝒜𝟙𐍈\x00\x01"
+    texts = [t for t in TEXTS if t] + ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 60))) for _ in range(400)] + ["it's we've 'S 'sx  's\n\n x \n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", bpe.words_of(F.col("t")).alias("w")).collect()
+    cut = bpe.cutter()
+    assert not [r.t for r in rows if cut(r.t) != list(r.w)]
+
+
+def test_a_text_of_very_many_words_of_its_own(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(40_000)).replace("1", "é")
+    monkeypatch.setattr(bpe, "HOT_WORDS", 2)
+    got = bpe.encode(spark.createDataFrame([(1, text), (2, "w5 é")], "doc_id long, text string"), "doc_id", "text").collect()
+    assert {r.doc_id: list(r.ids) for r in got} == {1: load().encode_ordinary(text), 2: load().encode_ordinary("w5 é")}
