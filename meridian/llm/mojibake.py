@@ -9,13 +9,12 @@ description length, the cost of the chain included, is chosen, else the text sta
 from __future__ import annotations
 
 import math
-import random
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridian.runtime import written
@@ -40,16 +39,12 @@ SIGNS = "–—‘’“”„«»‹›…°№©½¼¾²³£€ºª¿¡・「
 STEP_COST, SWAP_COST, MARGIN = 1, 1.25, 0.5
 #: Steps of a chain: texts are garbled twice, seldom three times.
 STEPS = 3
-#: Phrases of a language that its dictionary is trained on, the words of one at most, and the dictionary's size.
-PHRASES, PHRASE_WORDS, DICTIONARY_BYTES = 700, 4, 8192
-#: Pairs of letters kept of a language, and the letters of a word made of them at most.
-PAIRS, WORD_LETTERS = 8192, 12
+#: Size of a language's dictionary.
+DICTIONARY_BYTES = 8192
 #: Texts that a task reads, so that tasks stay short however many texts there are.
 TASK_TEXTS = 5000
 # What stands in no word: a sign between letters, and a marked capital after a small letter.
 _SIGN_IN_WORD = re.compile("(?<=[^\\W\\d_])[¡-©«¬®-¶¸¹»-¿×÷‚„†‡‰‹›€™─-╿√∞≈≤≥∂∆∏∑∫Ω¨´](?=[^\\W\\d_])|(?<=[a-zß-öø-ÿ])[À-ÖØ-ÞŒŸŠŽ]")
-# A word with the blanks before it, for the JVM; a run without blanks is cut.
-_WORD = r"\s*(?:\p{IsHan}+|\p{IsHiragana}+|\p{IsKatakana}+|\S{1,16})"
 _HOPELESS = re.compile("[�\x80-\x9f]")
 
 
@@ -248,50 +243,29 @@ def choose(text: str, scale: Scale) -> tuple[str, int]:
     return (best[2], best[1]) if best[1] and best[0] + MARGIN <= own else (text, 0)
 
 
-def _commonest(rows: DataFrame, size: Column, most: int) -> dict[str, dict[str, int]]:
-    """Of every lang, the ``most`` values x of the most rows times ``size``, with their rows."""
-    counts = rows.groupBy("lang", "x").agg(F.count("*").alias("n"))
-    top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(F.col("n") * size), "x"))).where(F.col("rank") <= most)
-    by: dict[str, dict[str, int]] = {}
-    for r in sorted(top.collect(), key=lambda r: (r["lang"], r["rank"])):
-        by.setdefault(r["lang"], {})[r["x"]] = r["n"]
-    return by
-
-
-def _as_often(counts: dict[str, int]) -> list[str]:
-    """Each value once at least, and as often as its share of the count is of their number, in an order of no meaning."""
-    share = len(counts) / sum(counts.values())
-    out = [x for x, k in counts.items() for _ in range(max(1, round(k * share)))]
-    random.Random(7).shuffle(out)
-    return out
-
-
-def spelled(pairs: dict[str, int], n: int) -> list[str]:
-    """``n`` words of no meaning, with a blank before, in which letters follow each other as often as in ``pairs``."""
-    rng, after = random.Random(7), {}
-    for pair, k in pairs.items():
-        after.setdefault(pair[0], ([], []))[0].append(pair[1])
-        after[pair[0]][1].append(k)
-    out = []
-    for _ in range(n):
-        word = " "
-        while len(word) < WORD_LETTERS and word[-1] in after and (len(word) == 1 or word[-1] != " "):
-            word += rng.choices(*after[word[-1]])[0]
-        out.append(word)
-    return out
+def simpler(form: str, best: str, scale: Scale) -> bool:
+    """Whether another form of a text has no reading itself and is described in less than the text's best reading."""
+    return scale.length(form) < scale.length(best) and not choose(form, scale)[1]
 
 
 def train(texts: DataFrame) -> tuple[dict[str, bytes], float]:
     """A dictionary of each language, and the bytes that a sign inside a word takes.
 
-    ``texts`` (column text, each once) are all counted, each for every language whose letters are its
-    own. Texts that a chain could change, or that hold characters of no language, train nothing.
-    What tells a language is its counts: the ``PHRASES`` runs of up to ``PHRASE_WORDS`` words that fill
-    most of its texts, and its pairs of letters. Its dictionary is trained on those phrases, each as
-    often as it was counted, with a word after each that is spelled as the pairs were counted and
-    stands for the rarer words. Only these counts and two sums come to the driver.
+    ``texts`` (column text, each once) all train, each every language whose letters are its own. Texts
+    that a chain could change, or that hold characters of no language, train nothing. The trainer
+    reads all texts of a language, of which it would hold a quarter back, in one task a language:
+    its memory grows with them. Only the dictionaries and two sums come to the driver.
     """
-    import zstandard
+
+    def trained(pdf: pd.DataFrame) -> pd.DataFrame:
+        import zstandard
+
+        samples = sorted(t.encode("utf-8", "replace") for t in pdf["text"])
+        try:
+            raw = zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=9, split_point=1.0).as_bytes()
+        except zstandard.ZstdError:  # too few samples: they are the dictionary
+            raw = b"\n".join(samples)[-DICTIONARY_BYTES:]
+        return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "dictionary": [raw]})
 
     def sort_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -307,34 +281,25 @@ def train(texts: DataFrame) -> tuple[dict[str, bytes], float]:
     plain = texts.where(~odd).select(F.lit("en").alias("lang"), "text", F.regexp_count("text", F.lit("[A-Za-z](?=[A-Za-z])")).cast("long").alias("inside"), F.lit(0).cast("long").alias("signs"))
     clean = written(plain.unionByName(texts.where(odd).mapInPandas(sort_out, "lang string, text string, inside long, signs long")), "clean")
     inside, signs = clean.agg(F.coalesce(F.sum("inside"), F.lit(0)), F.coalesce(F.sum("signs"), F.lit(0))).first()
-    words = clean.select("lang", F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)).alias("w"))
-    runs = F.flatten(F.transform("w", lambda _, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(PHRASE_WORDS), F.size("w") - i)), lambda n: F.array_join(F.slice("w", i + 1, n), ""))))
-    spaced = F.concat(F.lit(" "), "text", F.lit(" "))
-    pairs = F.transform(F.sequence(F.lit(1), F.length("text") + 1), lambda i: F.substring(spaced, i, 2))
-    phrases = _commonest(words.select("lang", F.explode(runs).alias("x")), F.octet_length("x"), PHRASES)
-    letters = _commonest(clean.select("lang", F.explode(pairs).alias("x")), F.lit(1), PAIRS)
-    out = {}
-    for lang, told in sorted(phrases.items()):
-        often = _as_often(told)
-        samples = [(p + w).encode() for p, w in zip(often, spelled(letters[lang], len(often)))]
-        try:
-            out[lang] = zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=9).as_bytes()
-        except zstandard.ZstdError:  # too few samples: they are the dictionary
-            out[lang] = "\n".join(sorted(told, key=lambda p: (told[p] * len(p), p))).encode()[-DICTIONARY_BYTES:]
-    return out, math.log2((inside + 2) / (signs + 1)) / 8
+    by = clean.select("lang", "text").repartition(len(LETTERS) + 1, "lang").groupBy("lang")
+    out = {r["lang"]: bytes(r["dictionary"]) for r in by.applyInPandas(trained, "lang string, dictionary binary").collect()}
+    return dict(sorted(out.items())), math.log2((inside + 2) / (signs + 1)) / 8
 
 
-def repair(rows: DataFrame, key: str, text: str, corpus: DataFrame | None = None) -> DataFrame:
+def repair(rows: DataFrame, key: str, text: str, corpus: DataFrame | None = None, rival: str | None = None) -> DataFrame:
     """(key, text, restored, steps, lost) of every row whose text is garbled.
 
     ``restored`` is the reading of least description length; where characters were lost for good
     (replacement or control characters remain), ``lost`` is true and as much is restored as can
     be. Null, empty and plain ASCII texts are never garbled. Repeated rows come out as often as
     they went in, null keys too; equal texts are read once. An empty table gives no rows. The
-    dictionaries are trained on ``corpus``, of which ``rows`` may be a part, else on ``rows``.
+    dictionaries are trained on ``corpus``, of which ``rows`` may be a part, else on ``rows``. The
+    column ``rival``, if any, holds one other form of each text: where it says the text in less than
+    the best reading does, the text is not garbled, unless characters were lost.
     """
     odd = rows.where(F.col(text).rlike(r"[^\x00-\x7f]"))
-    texts = odd.where(suspicious(F.col(text))).select(F.col(text).alias("text")).distinct()
+    form = F.coalesce(F.col(rival), F.lit("")) if rival else F.lit("")
+    texts = odd.where(suspicious(F.col(text))).select(F.col(text).alias("text"), form.alias("form")).distinct()
     corpus = rows if corpus is None else corpus
     dictionaries, sign = train(corpus.where(F.length(text) > 0).select(F.col(text).alias("text")).distinct())
 
@@ -342,10 +307,10 @@ def repair(rows: DataFrame, key: str, text: str, corpus: DataFrame | None = None
         scale = Scale(dictionaries, sign)
         for pdf in batches:
             out = []
-            for t in pdf["text"]:
+            for t, other in zip(pdf["text"], pdf["form"]):
                 best, steps = choose(t, scale)
                 lost = bool(_HOPELESS.search(best))
-                if steps or lost:
+                if lost or (steps and not (other and simpler(other, best, scale))):
                     out.append((t, best, steps, lost))
             yield pd.DataFrame(out, columns=["t", "restored", "steps", "lost"])
 

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from meridian.llm import confusables, mojibake
@@ -167,6 +168,32 @@ def test_forms_are_judged_by_all_anchors(spark, data, tmp_path, monkeypatch):
     assert [abs(s - sign_bytes(texts)) < 1e-9 for _, s in signs] == [True]
 
 
+def test_dictionaries_are_trained_on_every_clean_text(spark):
+    texts = [t for t in many_anchors() if t]
+    dictionaries, _ = mojibake.train(spark.createDataFrame([(t,) for t in texts], "text string").distinct())
+    german = sorted(t.encode() for t in set(texts) if not t.isascii() and "de" in mojibake.fitting(t) and mojibake.from_utf8(t, "cp1252") == t)
+    english = sorted(t.encode() for t in set(texts) if t.isascii())
+    for lang, samples in (("de", german), ("en", english)):
+        whole = zstandard.train_dictionary(mojibake.DICTIONARY_BYTES, samples, level=9, split_point=1.0)
+        assert len(samples) > 3000 and dictionaries[lang] == whole.as_bytes()
+
+
+def test_look_alikes_that_a_reading_describes_too_are_cases(spark, data, tmp_path, monkeypatch):
+    alike, bad, plain = "Іnitial field report of the Kelаnfell formation", "Â© 2021 Kelanfell survey", "Initial field report of the Kelanfell formation"
+    told = f"²nitial field report | Kelànfell formation | © 2021 Kelanfell survey | {plain}"
+    monkeypatch.setattr(mojibake, "train", lambda df: ({"en": told.encode()}, 2.0))
+    scale = mojibake.Scale({"en": told.encode()}, 2.0)
+    assert mojibake.choose(alike, scale) == ("²nitial field report of the Kelànfell formation", 1)
+    anchors = [("u1", alike), ("u2", bad + "\xa0"), ("u3", "Dоrford М\ufffdt"), ("u4", plain), ("u5", "Dorford"), ("u1", alike)]
+    spark.createDataFrame(anchors, "url string, anchor_text string").write.parquet(f"{tmp_path}/iccra_report_links_full.parquet")
+    spark.read.parquet(f"{data}/commons_crop_circle_assertions.parquet").write.parquet(f"{tmp_path}/commons_crop_circle_assertions.parquet")
+    got = {r.record_key: r.unified for r in queries.p4_forms(spark, str(tmp_path)).where("table_name = 'iccra_report_links_full'").collect()}
+    assert got == {"u1": plain}
+    rows = spark.createDataFrame([("a", alike, plain), ("b", bad, None), ("c", alike[:7], "")], "key string, text string, form string")
+    assert {r.key for r in mojibake.repair(rows, "key", "text", rival="form").collect()} == {"b"}
+    assert {r.key for r in mojibake.repair(rows, "key", "text").collect()} >= {"a", "b"}
+
+
 def test_what_the_jvm_sifts_out_has_no_reading(spark):
     texts = CLEAN + [bad for bad, _ in garbled()] + ORDINARY + list(ALIKE) + ["Zelpamo±d", "M\ufffdt", "a\x85b", "naïve é", "ß" * 5000]
     rows = spark.createDataFrame([(t,) for t in texts if t], "t string").withColumn("s", mojibake.suspicious(F.col("t"))).collect()
