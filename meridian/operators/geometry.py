@@ -192,31 +192,38 @@ def grid_position(east: pd.Series, north: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"latitude": np.where(bad, None, lat), "longitude": np.where(bad, None, lon)}).astype(float)
 
 
-def screen_clusters(points: DataFrame, by: Sequence[str], radius: float, most: int = 100_000) -> DataFrame:
+def screen_clusters(points: DataFrame, by: Sequence[str], radius: float) -> DataFrame:
     """(by, id, cluster): greedy clusters of (x, y), in order of x, y, id, each by its running centroid.
 
     A point joins the nearest centroid at most ``radius`` away, of equal ones the earliest, or
-    founds a cluster. The rule depends on order, so a view is one task; a view is what a screen
-    shows, and beyond ``most`` points an error is raised rather than any dropped.
+    founds a cluster. Of an id of a view the row of least x and y counts. The rule depends on order, so
+    a view is one task; the task reads its points sorted, a batch at a time, and holds only the centroids
+    that later points, whose x is no less, can still reach.
     """
     kinds = points.select(*by).schema.simpleString()[len("struct<") : -1].replace(":", " ")
     id_kind = points.schema["id"].dataType.simpleString()
+    reach = radius * (1 + 1e-9)
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"more than {most} points in a view")
-        pdf = pdf.drop_duplicates(["id"]).sort_values(["x", "y", "id"], kind="stable").reset_index(drop=True)
-        cx, cy, n = np.zeros(len(pdf)), np.zeros(len(pdf)), np.zeros(len(pdf))
-        out, count = [], 0
-        for x, y in zip(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)):
-            d = np.hypot(cx[:count] - x, cy[:count] - y)
-            j = int(np.argmin(d)) if count else -1
-            if j < 0 or d[j] > radius:
-                j, count = count, count + 1
-            n[j] += 1
-            cx[j] += (x - cx[j]) / n[j]
-            cy[j] += (y - cy[j]) / n[j]
-            out.append(j + 1)
-        return pdf[[*by, "id"]].assign(cluster=out)
-
-    return points.groupBy(*by).applyInPandas(greedy, f"{kinds}, id {id_kind}, cluster int")
+    def greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        view, count = None, 0
+        for pdf in batches:
+            out = np.zeros(len(pdf), np.int32)
+            for i, (v, x, y) in enumerate(zip(pdf["view__"], pdf["x"].to_numpy(float), pdf["y"].to_numpy(float))):
+                if v != view:
+                    view, count, cx, cy, n, label = v, 0, *np.zeros((4, 0))
+                elif i % 512 == 0:
+                    cx, cy, n, label = (c[cx + reach >= x] for c in (cx, cy, n, label))
+                d = np.hypot(cx - x, cy - y)
+                j = int(np.argmin(d)) if len(d) else -1
+                if j < 0 or d[j] > radius:
+                    count += 1
+                    cx, cy, n, label = (np.append(c, z) for c, z in ((cx, 0.0), (cy, 0.0), (n, 0.0), (label, count)))
+                    j = len(cx) - 1
+                n[j] += 1
+                cx[j] += (x - cx[j]) / n[j]
+                cy[j] += (y - cy[j]) / n[j]
+                out[i] = label[j]
+            yield pdf[[*by, "id"]].assign(cluster=out)
+
+    once = points.groupBy(*by, "id").agg(F.min(F.struct("x", "y")).alias("p")).select(*by, "id", "p.x", "p.y", F.to_json(F.struct(*by)).alias("view__"))
+    return once.repartition("view__").sortWithinPartitions("view__", F.asc_nulls_last("x"), F.asc_nulls_last("y"), "id").mapInPandas(greedy, f"{kinds}, id {id_kind}, cluster int")
