@@ -20,8 +20,8 @@ def view_clusters(points: DataFrame, zoom: float, width: int, height: int) -> Da
     """(cluster, reports, images, roles, south, west, north, east, wide, selected) of the points in a viewport and its buffer.
 
     ``points`` has id, x, y (pixels), lat, lon, images, role, selected; of an id the row of most images
-    counts, selected if any is. What lies outside is left out before anything is gathered, so the one task that
-    the greedy rule needs holds what a screen shows. Roles are a sorted list of role=count.
+    counts, selected if any is. What lies outside is left out before the one task that the greedy rule needs;
+    that reads the points sorted, however many a screen shows. Roles are a sorted list of role=count.
     """
     radius, buffer = settings(zoom)
     shown = points.where(F.col("x").between(-buffer, width + buffer) & F.col("y").between(-buffer, height + buffer) & ~F.isnan("x") & ~F.isnan("y"))

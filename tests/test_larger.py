@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from meridian.operators import geometry
+from meridian.operators import geometry, views
 
 
 def test_screen_clusters_of_any_number_of_points(spark):
@@ -27,3 +27,10 @@ def test_screen_clusters_of_any_number_of_points(spark):
             c[1] += (y - c[1]) / c[2]
             assert got[view, i] == near[1] + 1
         assert len(centres) > 50
+
+
+def test_view_clusters_of_any_number_of_points(spark):
+    n = F.col("id")
+    points = spark.range(100_001).select(n.cast("string").alias("id"), (n % 1440).cast("double").alias("x"), (n % 900).cast("double").alias("y"), F.lit(51.0).alias("lat"), F.lit(0.0).alias("lon"), F.lit(1).alias("images"), F.lit("r").alias("role"), F.lit(False).alias("selected"))
+    sums = views.view_clusters(points, 6, 1440, 900).agg(F.sum("reports"), F.sum("images"), F.count("*")).first()
+    assert sums[:2] == (100_001, 100_001) and sums[2] > 20
