@@ -258,9 +258,10 @@ def lookup_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a reader's entry finds: the formation of that id, or else the first whose place holds the entry."""
     known = table(spark, sf_dir, "formations").groupBy("formation_id").agg(F.min(normal(F.coalesce("place", F.lit("")))).alias("p"))
     typed = table(spark, sf_dir, "commons_crop_circle_assertions").select(F.explode(F.array(F.col("matched_formation_id"), normal(F.col("place")))).alias("entry")).where("length(entry) >= 3").distinct()
-    exact = typed.join(known, F.col("entry") == F.col("formation_id")).select("entry", F.lit(0).alias("tier"), "formation_id")
+    # By their files Spark takes these sides, a row for each run of letters, for far smaller than they are; neither is broadcast.
+    exact = typed.join(known.hint("merge"), F.col("entry") == F.col("formation_id")).select("entry", F.lit(0).alias("tier"), "formation_id")
     runs = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("p") - 2, F.lit(1))), lambda i: F.substring(F.col("p"), i, 3)))).alias("g")
-    within = typed.withColumn("g", F.substring("entry", 1, 3)).join(known.where("p <> ''").select("formation_id", "p", runs), "g").where(F.col("p").contains(F.col("entry"))).select("entry", F.lit(1).alias("tier"), "formation_id")
+    within = typed.withColumn("g", F.substring("entry", 1, 3)).join(known.where("p <> ''").select("formation_id", "p", runs).hint("merge"), "g").where(F.col("p").contains(F.col("entry"))).select("entry", F.lit(1).alias("tier"), "formation_id")
     return exact.unionByName(within).groupBy("entry").agg(F.min(F.struct("tier", "formation_id")).alias("s")).select("entry", "s.tier", "s.formation_id")
 
 

@@ -1,8 +1,10 @@
 """Inputs beyond what was once allowed, and plans that hold nothing whole."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from meridian.operators import geometry, views
 
 
@@ -34,3 +36,11 @@ def test_view_clusters_of_any_number_of_points(spark):
     points = spark.range(100_001).select(n.cast("string").alias("id"), (n % 1440).cast("double").alias("x"), (n % 900).cast("double").alias("y"), F.lit(51.0).alias("lat"), F.lit(0.0).alias("lon"), F.lit(1).alias("images"), F.lit("r").alias("role"), F.lit(False).alias("selected"))
     sums = views.view_clusters(points, 6, 1440, 900).agg(F.sum("reports"), F.sum("images"), F.count("*")).first()
     assert sums[:2] == (100_001, 100_001) and sums[2] > 20
+
+
+@pytest.mark.parametrize("query", ["lookup_tiers"])
+def test_sides_that_grow_are_not_broadcast(spark, data, query):
+    df = queries()[query](spark, data)
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    df.collect()
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
