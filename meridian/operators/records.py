@@ -80,12 +80,13 @@ def partial_reference(asked: DataFrame, store: DataFrame, part: str, name: str)
     """(part, name, matches): the one stored name that holds each part, null where none or several do.
 
     A part meets only names that hold its first three letters somewhere; shorter parts are refused (null, 0).
+    No side is broadcast: by their files Spark takes the names, a row for each run of letters, for far smaller than they are.
     """
     runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, 3)))
     own = asked.select(F.col(part)).where(F.length(part) >= 3).distinct().withColumn("__g", F.substring(part, 1, 3))
     names = store.select(F.col(name)).where(F.length(name) >= 3).distinct().withColumn("__g", F.explode(runs(F.col(name))))
-    hits = own.join(names, "__g").where(F.col(name).contains(F.col(part))).groupBy(part).agg(F.min(name).alias("__n"), F.count("*").alias("__c"))
-    return asked.select(part).distinct().join(hits, part, "left").select(part, F.when(F.col("__c") == 1, F.col("__n")).alias(name), F.coalesce("__c", F.lit(0)).alias("matches"))
+    hits = own.join(names.hint("merge"), "__g").where(F.col(name).contains(F.col(part))).groupBy(part).agg(F.min(name).alias("__n"), F.count("*").alias("__c"))
+    return asked.select(part).distinct().join(hits.hint("merge"), part, "left").select(part, F.when(F.col("__c") == 1, F.col("__n")).alias(name), F.coalesce("__c", F.lit(0)).alias("matches"))
 
 
 def union_types(parts: Sequence[tuple[str, DataFrame, dict[str, Column]]], tag: str = "source_kind") -> DataFrame:
