@@ -38,7 +38,7 @@ def test_view_clusters_of_any_number_of_points(spark):
     assert sums[:2] == (100_001, 100_001) and sums[2] > 20
 
 
-@pytest.mark.parametrize("query", ["lookup_tiers", "partial_references"])
+@pytest.mark.parametrize("query", ["lookup_tiers", "partial_references", "alignments", "corridor_join"])
 def test_sides_that_grow_are_not_broadcast(spark, data, query):
     df = queries()[query](spark, data)
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
