@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from meridian.operators import geometry, views
+from meridian.functions.geo import destination, haversine_km, track
+from meridian.operators import geometry, match, views
 
 
 def test_screen_clusters_of_any_number_of_points(spark):
@@ -44,3 +45,22 @@ def test_sides_that_grow_are_not_broadcast(spark, data, query):
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     df.collect()
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_products_tell_corridors_as_the_formulas_do(spark):
+    # What products leave open is told by the formulas: ranges beyond half the way around, corridors beyond a quarter, poles, edges.
+    rng = np.random.default_rng(23)
+    lat, lon, turn = rng.uniform(-90, 90, 60), rng.uniform(-180, 180, 60), rng.uniform(0, 360, 60)
+    reach, wide = np.resize([30.0, 4000.0, 25000.0], 60), np.resize([0.5, 50.0, 800.0, 11000.0], 60)
+    rays = spark.createDataFrame([(f"r{i}", *map(float, r)) for i, r in enumerate(zip(np.append(lat[:58], [90, -90]), lon, turn, reach, wide))], "ray string, ray_lat double, ray_lon double, azimuth double, range_km double, corridor_km double")
+    at = [(f"s{i}", *map(float, p)) for i, p in enumerate(zip(rng.uniform(-90, 90, 300), rng.uniform(-180, 180, 300)))]
+    ends = destination("ray_lat", "ray_lon", "azimuth", F.col("range_km"))
+    near = rays.select(F.concat(F.lit("e"), "ray").alias("site"), *(c.alias(n) for c, n in zip(ends, ("site_lat", "site_lon"))))
+    sites = spark.createDataFrame([*at, ("p", 90.0, 0.0), ("none", None, None)], "site string, site_lat double, site_lon double").unionByName(near)
+    along, cross = track("ray_lat", "ray_lon", "azimuth", "site_lat", "site_lon")
+    maybe, surely, columns = match._corridor_test(match._unit_vector(F.col("site_lat"), F.col("site_lon")))
+    inside = (haversine_km("ray_lat", "ray_lon", "site_lat", "site_lon") >= 1) & (along >= 0) & (along <= F.col("range_km")) & (F.abs(cross) <= F.col("corridor_km"))
+    told = rays.withColumns(columns).crossJoin(sites).select(F.coalesce(maybe, F.lit(False)).alias("m"), F.coalesce(surely, F.lit(False)).alias("s"), F.coalesce(inside, F.lit(False)).alias("i")).groupBy("m", "s", "i").count().collect()
+    ways = {(r.m, r.s, r.i): r["count"] for r in told}
+    assert not any(i and not m or s and not i for m, s, i in ways), ways
+    assert ways[True, True, True] > 20 and ways[False, False, False] > 5000
